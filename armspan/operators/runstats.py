@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armspan.functions.rounding import round_exact
@@ -47,31 +47,40 @@ def metric_key_stats(
     """Mean, population deviation, min, max and count of every key of a metric map.
 
     With ``fill_missing`` a run whose map lacks a key counts as 0 for that key; a run
-    without the map is left out. The zeros are folded in from the number of runs per
-    group, so no row is made for a missing entry.
+    without the map is left out. Each run adds one marker entry without a key, so one
+    scan gives both the key statistics and the number of runs per group, from which the
+    zeros are folded in; no row is made for a missing entry. The window runs over the
+    statistics, one row per distinct key.
     """
     if not by:
         raise ValueError("name at least one grouping column")
-    entries = runs.select(*by, F.explode(metrics).alias("key", "value"))
-    present = entries.groupBy(*by, "key").agg(
-        F.count("value").alias("_n"),
-        F.avg("value").alias("mean"),
-        F.var_pop("value").alias("_var"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    entries = F.map_entries(metrics)
+    if fill_missing:
+        marker = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+        entries = F.concat(entries, F.array(marker))
+    stats = (
+        runs.select(*by, F.inline(entries))
+        .groupBy(*by, "key")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.count("value").alias("_n"),
+            F.avg("value").alias("mean"),
+            F.var_pop("value").alias("_var"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
     )
     if not fill_missing:
-        return present.select(
+        return stats.select(
             *by, "key", F.col("_n").alias("count"), "mean", F.sqrt("_var").alias("std"), "min", "max"
         )
-    groups = runs.filter(F.col(metrics).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
-    renamed = groups.withColumnsRenamed({name: f"_g_{name}" for name in by})
-    same_group = [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in by]
+    marked = F.max(F.when(F.col("key").isNull(), F.col("_rows"))).over(Window.partitionBy(*by))
+    present = stats.withColumn("count", marked).filter(F.col("key").isNotNull())
     share = F.col("_n") / F.col("count")
     zeros = F.col("_n") < F.col("count")
     # Variance of two merged groups, one of which is all zeros.
     variance = share * F.col("_var") + share * (1.0 - share) * F.col("mean") * F.col("mean")
-    return present.join(renamed, same_group).select(
+    return present.select(
         *by,
         "key",
         "count",
