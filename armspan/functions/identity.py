@@ -45,16 +45,18 @@ def parse_run_name(
     An arm that the name lacks comes from ``record_arm``; parts that stay unknown
     are null.
     """
-    base = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"\.json$", "")
-    pattern = rf"^([a-z]+?)_(?:({'|'.join(arms)})_)?(?:({'|'.join(modes)})_)?run(\d+)_(\d{{8}}_\d{{6}})$"
-    found = {
-        part: F.nullif(F.regexp_extract(base, pattern, group), F.lit(""))
-        for group, part in enumerate(_PARTS, start=1)
-    }
+    pattern = (
+        rf"^(?:.*/)?([a-z]+?)_(?:({'|'.join(arms)})_)?(?:({'|'.join(modes)})_)?"
+        r"run(\d+)_(\d{8}_\d{6})(?:\.json)?$"
+    )
+    # One match yields all parts; the digits and letters of a name hold no slash.
+    found = F.split(F.regexp_replace(name, pattern, "$1/$2/$3/$4/$5"), "/")
+    parts = F.when(name.rlike(pattern), found)
+    values = {part: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, part in enumerate(_PARTS)}
     if record_arm is not None:
-        found["arm"] = F.coalesce(found["arm"], record_arm)
-    found["run"] = found["run"].cast("int")
-    return F.struct(*[column.alias(part) for part, column in found.items()])
+        values["arm"] = F.coalesce(values["arm"], record_arm)
+    values["run"] = values["run"].cast("int")
+    return F.struct(*[column.alias(part) for part, column in values.items()])
 
 
 def hash_fraction(key: Column, seed: int) -> Column:

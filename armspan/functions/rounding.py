@@ -1,4 +1,4 @@
-"""Decimal rounding of doubles on their exact binary value.
+"""Decimal rounding of doubles on their exact binary value, and exact sums.
 
 Spark's ``round`` and ``format_string`` round the shortest decimal text half up
 (-82.55 gives -82.6), while the recorded reports round the stored binary value
@@ -7,6 +7,8 @@ half to even (-82.5). These expressions give the latter.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0
 # From here on a double has no fractional part left to round.
 _NO_FRACTION = 4503599627370496.0
+# Width of the part of a whole number that exact_sum adds apart.
+_LOW_BITS = 20
 
 
 def round_exact(value: Column, digits: int) -> Column:
@@ -27,13 +31,10 @@ def round_exact(value: Column, digits: int) -> Column:
     carry = x * _SPLITTER
     high = carry - (carry - x)
     err = (high * scale - scaled) + (x - high) * scale
-    floor = F.floor(scaled).cast("double")
-    at_half = (scaled - floor) == 0.5
-    nearest = (
-        F.when(at_half & (err > 0), floor + 1.0)
-        .when(at_half & (err < 0), floor)
-        .otherwise(F.rint(scaled))
-    )
+    # Half a unit away from the even neighbour, err tells whether that was a tie.
+    even = F.rint(scaled)
+    off = scaled - even
+    nearest = F.when((F.abs(off) == 0.5) & (off * err > 0), even + off * 2.0).otherwise(even)
     return F.when(F.abs(x) < _NO_FRACTION / scale, nearest / scale).otherwise(x)
 
 
@@ -41,3 +42,20 @@ def fixed_text(value: Column, digits: int, signed: bool = False) -> Column:
     """Text with a fixed number of decimals, and a leading + when ``signed``."""
     sign = "+" if signed else ""
     return F.format_string(f"%{sign}.{digits}f", round_exact(value, digits))
+
+
+def exact_sum(amount: Column, digits: int | None = 2) -> Column:
+    """Sum of values that carry ``digits`` decimals, free of rounding; as a double.
+
+    A sum of doubles changes with the order in which partial results meet. Whole units
+    (cents) do not, and add faster than decimals. Their high and low bits are summed
+    apart, so a group can hold some 10**12 rows before an overflow, which would raise.
+    With ``digits`` None the doubles are summed as they are.
+    """
+    if digits is None:
+        return F.sum(amount)
+    units = F.rint(amount * float(10**digits)).cast("bigint")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
+    unit = F.lit(Decimal(1).scaleb(-digits))
+    return ((high * F.lit(Decimal(2**_LOW_BITS)) + low) * unit).cast("double")

@@ -45,10 +45,10 @@ def pair_arms(
 def with_verdict(
     pairs: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1], value: str = "mean", guard: bool = True
 ) -> DataFrame:
-    """Adds ``difference_pct`` and the ``winner``."""
+    """Adds ``difference_pct`` and the ``winner``, the arm's name in capitals or Tie."""
     difference = pct_difference(F.col(f"base_{value}"), F.col(f"cand_{value}"), guard)
     return pairs.withColumn("difference_pct", difference).withColumn(
-        "winner", winner(F.col("difference_pct"), base, candidate)
+        "winner", winner(F.col("difference_pct"), base.upper(), candidate.upper())
     )
 
 
@@ -118,7 +118,7 @@ def compare_ml_metrics(
 
 def win_tally(rows: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1]) -> DataFrame:
     return rows.agg(
-        F.count_if(F.col("winner") == base).alias("base_wins"),
-        F.count_if(F.col("winner") == candidate).alias("candidate_wins"),
+        F.count_if(F.col("winner") == base.upper()).alias("base_wins"),
+        F.count_if(F.col("winner") == candidate.upper()).alias("candidate_wins"),
         F.count_if(F.col("winner") == "Tie").alias("ties"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import astuple, dataclass, fields
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,12 +73,6 @@ def price_table(spark: SparkSession, prices: Sequence[tuple[str, str, float]] =
     return dimension(spark, prices, ["arm", "item", "unit_price"])
 
 
-def shape_table(spark: SparkSession, shapes: Sequence[ClusterShape] = SHAPES) -> DataFrame:
-    if len({shape.arm for shape in shapes}) != len(shapes):
-        raise ValueError("an arm has two cluster shapes")
-    return dimension(spark, [astuple(s) for s in shapes], [f.name for f in fields(ClusterShape)])
-
-
 def price_lookup(
     rows: DataFrame, prices: DataFrame, item: str, out: str = "unit_price", arm: str = "arm"
 ) -> DataFrame:
@@ -99,28 +93,31 @@ def rate_table(
 ) -> DataFrame:
     """Hourly and storage rates, one row per arm.
 
-    Prices are looked up once per shape, so a run needs a single lookup, by its arm.
+    The prices of a shape are settled here, so a run needs a single lookup, by its arm.
     """
-    listed = price_table(spark, prices)
-    rates = shape_table(spark, shapes)
-    for item, out in (
-        ("master_type", "master_rate"),
-        ("worker_type", "worker_rate"),
-        ("fee_item", "fee_rate"),
-        ("storage_item", "storage_rate"),
-    ):
-        rates = price_lookup(rates, listed, item, out)
-    node_fee = F.when(F.col("fee_per_vcpu"), F.col("fee_rate") * F.col("vcpus")).otherwise(F.col("fee_rate"))
-    return F.broadcast(
-        rates.select(
-            F.col("arm").alias("_rate_arm"),
-            "master_rate",
-            "worker_rate",
-            node_fee.alias("node_fee"),
-            "storage_rate",
-            "worker_count",
+    if len({shape.arm for shape in shapes}) != len(shapes):
+        raise ValueError("an arm has two cluster shapes")
+    listed = {(arm, item): price for arm, item, price in prices}
+
+    def price(arm: str, item: str) -> float:
+        if (arm, item) not in listed:
+            raise ValueError(f"no price for {arm} {item}")
+        return listed[arm, item]
+
+    rows = []
+    for shape in shapes:
+        fee = price(shape.arm, shape.fee_item)
+        rows.append(
+            (
+                shape.arm,
+                price(shape.arm, shape.master_type),
+                price(shape.arm, shape.worker_type),
+                fee * shape.vcpus if shape.fee_per_vcpu else fee,
+                price(shape.arm, shape.storage_item),
+                shape.worker_count,
+            )
         )
-    )
+    return dimension(spark, rows, ["_rate_arm", *_RATE_COLUMNS])
 
 
 def with_rates(runs: DataFrame, rates: DataFrame, arm: str = "arm") -> DataFrame:

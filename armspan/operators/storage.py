@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armspan.functions.rounding import round_exact
+from armspan.functions.rounding import exact_sum, round_exact
 from armspan.operators.runstats import spread
 
 # The order in which reports list the operations.
@@ -20,26 +20,35 @@ def operation_rank(operation: Column) -> Column:
     return F.when(listed > 0, listed).otherwise(F.lit(len(OPERATION_ORDER) + 1)).cast("int")
 
 
-def summarise_tests(tests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def summarise_tests(
+    tests: DataFrame,
+    by: Sequence[str] = (),
+    rate_digits: int | None = 2,
+    seconds_digits: int | None = 3,
+) -> DataFrame:
     """Average rate and duration per operation over the tests without an error.
 
-    A test that lacks a figure counts as 0 for it.
+    A test that lacks a figure counts as 0 for it. The digits are the decimals of the
+    recorded figures; with them the averages do not depend on the order of the tests,
+    which would show where an average falls between two rounded values.
     """
-    return (
+    rate = F.coalesce("throughput_mbps", F.lit(0.0))
+    seconds = F.coalesce("duration_seconds", F.lit(0.0))
+    totals = (
         tests.filter(F.col("error").isNull())
         .groupBy(*by, "operation")
         .agg(
-            F.avg(F.coalesce("throughput_mbps", F.lit(0.0))).alias("_rate"),
-            F.avg(F.coalesce("duration_seconds", F.lit(0.0))).alias("_duration"),
+            exact_sum(rate, rate_digits).alias("_rate"),
+            exact_sum(seconds, seconds_digits).alias("_seconds"),
             F.count(F.lit(1)).alias("count"),
         )
-        .select(
-            *by,
-            "operation",
-            round_exact(F.col("_rate"), 2).alias("avg_throughput_mbps"),
-            round_exact(F.col("_duration"), 3).alias("avg_duration_seconds"),
-            "count",
-        )
+    )
+    return totals.select(
+        *by,
+        "operation",
+        round_exact(F.col("_rate") / F.col("count"), 2).alias("avg_throughput_mbps"),
+        round_exact(F.col("_seconds") / F.col("count"), 3).alias("avg_duration_seconds"),
+        "count",
     )
 
 

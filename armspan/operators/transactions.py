@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOW_BITS = 20
+from armspan.functions.rounding import exact_sum
 
 # A key with fewer rows than this fits one reduce task and needs no special care.
 HOT_KEY_ROWS = 2_000_000
@@ -36,23 +35,6 @@ def filter_conjunctive(
     )
 
 
-def exact_sum(amount: Column, digits: int | None = 2) -> Column:
-    """Sum of values that carry ``digits`` decimals, free of rounding; as a double.
-
-    A sum of doubles changes with the order in which partial results meet. Whole units
-    (cents) do not, and add faster than decimals. Their high and low bits are summed
-    apart, so a group can hold some 10**12 rows before an overflow, which would raise.
-    With ``digits`` None the doubles are summed as they are.
-    """
-    if digits is None:
-        return F.sum(amount)
-    units = F.rint(amount * float(10**digits)).cast("bigint")
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
-    unit = F.lit(Decimal(1).scaleb(-digits))
-    return ((high * F.lit(Decimal(2**_LOW_BITS)) + low) * unit).cast("double")
-
-
 def _summarise(
     facts: DataFrame,
     keys: Sequence[str],

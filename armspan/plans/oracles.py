@@ -84,8 +84,8 @@ _CTES = {
                     when 2 then 'sequential_read' else 'write' end as operation,
                l_quantity as size_mb, round(l_tax * 100) as seconds, l_returnflag = 'R' as failed
         from lineitem""",
-    "rates": """
-        select *, case when seconds > 0 then size_mb / seconds else 0::double end as rate
+    "rates": f"""
+        select *, {_exact("case when seconds > 0 then size_mb / seconds else 0::double end", 2)} as rate
         from tests where not failed""",
     "metrics": """
         select provider, cast(user_id % 20 as int) as run,
@@ -113,7 +113,7 @@ _CTES = {
         from arm_stats a join arm_stats g on a.benchmark = g.benchmark and a.metric = g.metric
         where a.provider = 'aws' and g.provider = 'gcp'""",
     "compared": """
-        select *, case when difference_pct > 0 then 'aws' when difference_pct < 0 then 'gcp' else 'Tie' end as winner
+        select *, case when difference_pct > 0 then 'AWS' when difference_pct < 0 then 'GCP' else 'Tie' end as winner
         from (select *, case when base_mean = 0 and cand_mean = 0 then 0::double when base_mean = 0 then 100::double
                              else (cand_mean - base_mean) / base_mean * 100 end as difference_pct
               from pairs)""",
@@ -181,8 +181,9 @@ ORACLES["scan_run_records"] = _with(
 
 ORACLES["scan_ml_metrics"] = _with("select provider, run, accuracy, f1_score from metrics", "named", "metrics")
 
+_MEAN_RATE = _MONEY.format("rate") + " / count(*)"
 _OP_STATS = f"""
-    {_exact("avg(rate)", 2)} as avg_throughput_mbps, {_exact("avg(seconds)", 3)} as avg_duration_seconds,
+    {_exact(_MEAN_RATE, 2)} as avg_throughput_mbps, {_exact("sum(seconds) / count(*)", 3)} as avg_duration_seconds,
     count(*) as count"""
 
 ORACLES["scan_storage_records"] = _with(
@@ -260,7 +261,11 @@ ORACLES["sink_report_lines"] = _with(
     union all
     select concat('| ', benchmark, ' | ', metric, ' | ', {_side("base")}, ' | ', {_side("cand")}, ' | ',
                   {_text("difference_pct", 1, "+")}, '% | **', winner, '** |')
-    from compared""",
+    from compared
+    union all values (''), ('## Summary'), ('')
+    union all select concat('- AWS Wins: ', count(*) filter (where winner = 'AWS')) from compared
+    union all select concat('- GCP Wins: ', count(*) filter (where winner = 'GCP')) from compared
+    union all select concat('- Ties: ', count(*) filter (where winner = 'Tie')) from compared""",
     *_COMPARED,
 )
 
@@ -461,7 +466,7 @@ ORACLES["storage_test_summary"] = _with(
 )
 ORACLES["win_tally"] = _with(
     """
-    select count(*) filter (where winner = 'aws') as base_wins, count(*) filter (where winner = 'gcp') as candidate_wins,
+    select count(*) filter (where winner = 'AWS') as base_wins, count(*) filter (where winner = 'GCP') as candidate_wins,
            count(*) filter (where winner = 'Tie') as ties
     from compared""",
     *_COMPARED,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armspan.functions.identity import ARMS
 from armspan.functions.rounding import fixed_text
+from armspan.operators.comparison import win_tally
 
 # Columns of the comparison file after benchmark and metric.
 _SIDES = ("mean", "std")
@@ -66,10 +69,10 @@ def write_comparison_csv(rows: DataFrame, path: str, base: str = ARMS[0], candid
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
-    """Each comparison row as a markdown table line, with its columns for ordering."""
+    """Each comparison row as a markdown table line."""
     is_cost = F.col("metric").contains("Cost")
 
-    def side(name: str):
+    def side(name: str) -> Column:
         mean, std = F.col(f"{name}_mean"), F.col(f"{name}_std")
         money = F.concat(F.lit("$"), fixed_text(mean, 4), F.lit(" ± $"), fixed_text(std, 4))
         time = F.concat(fixed_text(mean, 2), F.lit(" ± "), fixed_text(std, 2), F.lit("s"))
@@ -81,27 +84,65 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return rows.select("benchmark", "metric", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
 
 
-def report_table(rows: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1]) -> DataFrame:
-    """The markdown table as lines to sort by section, benchmark and metric: header, rule and rows, by ``section``."""
-    spark = rows.sparkSession
-    heads = ["Benchmark", "Metric", f"{base.upper()} (Mean ± Std)", f"{candidate.upper()} (Mean ± Std)"]
-    heads += ["Difference", "Winner"]
+# Columns that put the lines of a report in order.
+REPORT_ORDER = ("section", "position", "benchmark", "metric")
+
+
+def report_table(
+    rows: DataFrame,
+    base: str = ARMS[0],
+    candidate: str = ARMS[1],
+    benchmarks: Sequence[str] = (),
+) -> DataFrame:
+    """The report as lines to sort by ``REPORT_ORDER``: table header, rows, tally of wins.
+
+    Listed ``benchmarks`` come first and in that order; time precedes cost.
+    """
+    names = (base.upper(), candidate.upper())
+    heads = ["Benchmark", "Metric", *[f"{n} (Mean ± Std)" for n in names], "Difference", "Winner"]
     header = "| " + " | ".join(heads) + " |"
     rule = "|" + "|".join("-" * (len(head) + 2) for head in heads) + "|"
-    opening = spark.range(1).select(
-        F.posexplode(F.array(F.lit(header), F.lit(rule))).alias("section", "line")
+    listed = F.array_position(F.array(*[F.lit(b) for b in benchmarks]).cast("array<string>"), F.col("benchmark"))
+    place = F.when(listed > 0, listed).otherwise(len(benchmarks) + 1) * 2
+    body = report_lines(rows).select(
+        F.lit(1).alias("section"),
+        (place + F.col("metric").contains("Cost").cast("int")).cast("int").alias("position"),
+        "benchmark",
+        "metric",
+        "line",
     )
+    tally = win_tally(rows, base, candidate).select(
+        F.array(
+            F.lit(""),
+            F.lit("## Summary"),
+            F.lit(""),
+            F.concat(F.lit(f"- {names[0]} Wins: "), "base_wins"),
+            F.concat(F.lit(f"- {names[1]} Wins: "), "candidate_wins"),
+            F.concat(F.lit("- Ties: "), "ties"),
+        ).alias("lines")
+    )
+    opening = rows.sparkSession.range(1).select(F.array(F.lit(header), F.lit(rule)).alias("lines"))
     blank = F.lit("")
-    opening = opening.select("section", blank.alias("benchmark"), blank.alias("metric"), "line")
-    body = report_lines(rows).select(F.lit(2).alias("section"), "benchmark", "metric", "line")
-    return opening.unionByName(body)
-
-
-def write_report(rows: DataFrame, path: str, base: str = ARMS[0], candidate: str = ARMS[1]) -> str | None:
-    """The comparison as a markdown table in one text file; without rows nothing is written."""
+    for section, block in ((0, opening), (2, tally)):
+        lines = block.select(F.posexplode("lines").alias("position", "line"))
+        body = body.unionByName(
+            lines.select(
+                F.lit(section).alias("section"), "position", blank.alias("benchmark"), blank.alias("metric"), "line"
+            )
+        )
+    return body
+
+
+def write_report(
+    rows: DataFrame,
+    path: str,
+    base: str = ARMS[0],
+    candidate: str = ARMS[1],
+    benchmarks: Sequence[str] = (),
+) -> str | None:
+    """The comparison as markdown in one text file; without rows nothing is written."""
     if rows.isEmpty():
         return None
-    report_table(rows, base, candidate).coalesce(1).sortWithinPartitions(
-        "section", "benchmark", "metric"
-    ).select("line").write.text(path)
+    lines = report_table(rows, base, candidate, benchmarks)
+    lines.coalesce(1).sortWithinPartitions(*REPORT_ORDER).select("line").write.text(path)
     return path
