@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -473,25 +474,30 @@ def preview_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cost model
 
 
-def _timed_runs(spark: SparkSession, sf_dir: str, arm: str | None = None) -> DataFrame:
-    """Runs with their seconds and arm; with ``arm`` all of them priced as that arm."""
-    name = F.col("provider") if arm is None else F.lit(arm)
-    return b.named_events(spark, sf_dir).select("event_id", "user_id", "mode", name.alias("arm"), "value")
+def _timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.named_events(spark, sf_dir).select(
+        "event_id", "user_id", "mode", F.col("provider").alias("arm"), "value"
+    )
 
 
 _COMPONENTS = ("master_vm", "master_fee", "worker_vm", "worker_fee", "total_compute")
 
 
+def _cluster_cost(spark: SparkSession, sf_dir: str, fee_per_vcpu: bool) -> DataFrame:
+    """Cluster cost of all runs with the fee of either arm charged in the same way."""
+    shapes = [replace(shape, fee_per_vcpu=fee_per_vcpu) for shape in cost.SHAPES]
+    costs = cost.cluster_cost(_timed_runs(spark, sf_dir), cost.rate_table(spark, shapes), "value")
+    return costs.select("event_id", "arm", *_COMPONENTS)
+
+
 @query
 def cluster_cost_per_node_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = cost.cluster_cost(_timed_runs(spark, sf_dir, "aws"), cost.rate_table(spark), "value")
-    return costs.select("event_id", *_COMPONENTS)
+    return _cluster_cost(spark, sf_dir, fee_per_vcpu=False)
 
 
 @query
 def cluster_cost_per_vcpu_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = cost.cluster_cost(_timed_runs(spark, sf_dir, "gcp"), cost.rate_table(spark), "value")
-    return costs.select("event_id", *_COMPONENTS)
+    return _cluster_cost(spark, sf_dir, fee_per_vcpu=True)
 
 
 @query

@@ -480,19 +480,22 @@ ORACLES["preview_top_n"] = _with("""select * from facts order by "AMOUNT" desc,
 # Cost model
 
 
-def _cluster(arm: str) -> str:
-    """All runs priced at the rates of one arm."""
+def _cluster(charged_vcpus: int) -> str:
+    """Cluster cost of all runs, the fee of either arm charged for so many vCPUs a node."""
     return _with(
         f"""
-        select event_id, vm * h as master_vm, fee * h as master_fee, vm * h * 2 as worker_vm, fee * h * 2 as worker_fee,
-               ((vm * h + fee * h) + vm * h * 2) + fee * h * 2 as total_compute
-        from (select event_id, value / 3600 as h from events), arm_rates where arm = '{arm}'""",
-        "arm_rates",
+        select event_id, arm, vm * h as master_vm, fee * h as master_fee, vm * h * 2 as worker_vm,
+               fee * h * 2 as worker_fee, ((vm * h + fee * h) + vm * h * 2) + fee * h * 2 as total_compute
+        from (select event_id, n.provider as arm, value / 3600 as h,
+                     case n.provider when 'aws' then 0.10::double else 0.095::double end as vm,
+                     case n.provider when 'aws' then 0.03::double else 0.010::double end * {charged_vcpus} as fee
+              from named n)""",
+        "named",
     )
 
 
-ORACLES["cluster_cost_per_node_fee"] = _cluster("aws")
-ORACLES["cluster_cost_per_vcpu_fee"] = _cluster("gcp")
+ORACLES["cluster_cost_per_node_fee"] = _cluster(1)
+ORACLES["cluster_cost_per_vcpu_fee"] = _cluster(4)
 _COSTED = ("named", "arm_rates", "costed")
 ORACLES["storage_cost"] = _with(
     "select event_id, arm, storage_rate * value * (cast(user_id % 48 as double) / 730) as storage from costed", *_COSTED

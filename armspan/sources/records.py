@@ -14,7 +14,7 @@ _CORRUPT = "_corrupt_record"
 def _read_json(
     spark: SparkSession, path: str, schema: T.StructType, name_glob: str | None, documents: bool
 ) -> DataFrame:
-    """Parsable records with the file each came from.
+    """Records that fit the schema, with the file each came from; others are skipped.
 
     ``documents`` reads files that hold one pretty-printed object each; otherwise
     every line is a record, and large files split over tasks.
@@ -28,25 +28,24 @@ def _read_json(
     )
     if name_glob is not None:
         reader = reader.option("pathGlobFilter", name_glob)
-    rows = reader.json(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
-
-
-def _parsable(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("source_file"))
+    # The check names every field: the parser leaves out fields that nobody reads, and
+    # whether a record is skipped must not depend on what a query selects from it.
+    every_field = F.size(F.array(*[F.col(name).isNull() for name in schema.names])) > 0
+    return rows.filter(F.col(_CORRUPT).isNull() & every_field).drop(_CORRUPT)
 
 
 def read_run_records(
     spark: SparkSession, path: str, name_glob: str | None = None, documents: bool = True
 ) -> DataFrame:
     """Run records; ``timings`` and ``costs`` are maps because their keys differ by arm."""
-    return _parsable(_read_json(spark, path, RUN_RECORD, name_glob, documents))
+    return _read_json(spark, path, RUN_RECORD, name_glob, documents)
 
 
 def read_storage_records(
     spark: SparkSession, path: str, name_glob: str | None = None, documents: bool = True
 ) -> DataFrame:
-    return _parsable(_read_json(spark, path, STORAGE_RECORD, name_glob, documents))
+    return _read_json(spark, path, STORAGE_RECORD, name_glob, documents)
 
 
 def storage_operations(records: DataFrame, *keep: str) -> DataFrame:
@@ -68,7 +67,7 @@ def read_ml_metrics(
 
     Files that do not parse are skipped; an absent accuracy or F1 counts as 0.
     """
-    rows = _parsable(_read_json(spark, path, ML_METRICS, name_glob, documents))
+    rows = _read_json(spark, path, ML_METRICS, name_glob, documents)
     return rows.withColumns(
         {name: F.coalesce(F.col(name), F.lit(0.0)) for name in ("accuracy", "f1_score")}
     )
