@@ -14,6 +14,9 @@ from armspan.operators.comparison import win_tally
 # Columns of the comparison file after benchmark and metric.
 _SIDES = ("mean", "std")
 
+# Records state UTC times with all their digits; the default would keep milliseconds.
+_JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
+
 
 def write_features(features: DataFrame, path: str) -> None:
     features.write.parquet(path)
@@ -26,7 +29,7 @@ def write_split(train: DataFrame, test: DataFrame, folder: str) -> None:
 
 
 def as_json(rows: DataFrame, column: str = "value") -> DataFrame:
-    return rows.select(F.to_json(F.struct("*")).alias(column))
+    return rows.select(F.to_json(F.struct("*"), _JSON_TIME).alias(column))
 
 
 def write_document(record: DataFrame, path: str) -> None:
@@ -41,12 +44,12 @@ def write_new_document(record: DataFrame, path: str) -> None:
 
 def write_run_records(records: DataFrame, path: str, arm: str = "provider") -> None:
     """Records as JSON lines, one folder per arm; the arm also stays inside each record."""
-    records.withColumn("arm", F.col(arm)).write.partitionBy("arm").json(path)
+    records.withColumn("arm", F.col(arm)).write.options(**_JSON_TIME).partitionBy("arm").json(path)
 
 
 def write_aggregates(aggregates: DataFrame, path: str) -> None:
     """Aggregated metrics, one JSON object per row."""
-    aggregates.write.json(path)
+    aggregates.write.options(**_JSON_TIME).json(path)
 
 
 def comparison_columns(rows: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1]) -> DataFrame:

@@ -24,6 +24,7 @@ def _read_json(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("multiLine", documents)
+        .option("timeZone", "UTC")
         .option("recursiveFileLookup", True)
     )
     if name_glob is not None:
