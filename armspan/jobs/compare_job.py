@@ -1,4 +1,4 @@
-"""spark-submit entry: compares two arms from their result files."""
+"""spark-submit entry: compares two arms from the records of their runs."""
 
 from __future__ import annotations
 
@@ -8,19 +8,40 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from armspan.functions.identity import ARMS
-from armspan.plans.results import compare_results, write_comparison
+from armspan.plans.results import compare_results, compare_runs, label_runs, write_comparison
+from armspan.sources.records import read_run_records
+
+
+def run(
+    spark: SparkSession,
+    results_path: str | Sequence[str],
+    output_path: str,
+    base: str = ARMS[0],
+    candidate: str = ARMS[1],
+    lines: bool = False,
+) -> None:
+    """Compares a folder of result documents or, with ``lines``, runs stored as JSON lines."""
+    if lines:
+        runs = label_runs(read_run_records(spark, results_path, documents=False))
+        result = compare_runs(runs, base, candidate)
+    else:
+        result = compare_results(spark, results_path, base, candidate)
+    write_comparison(result, output_path, base, candidate)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("--results-path", required=True)
+    parser.add_argument("--results-path", required=True, nargs="+")
     parser.add_argument("--output-path", required=True)
     parser.add_argument("--base", default=ARMS[0])
     parser.add_argument("--candidate", default=ARMS[1])
+    parser.add_argument("--lines", action="store_true", help="the paths hold JSON lines of the repeat job")
     args = parser.parse_args(argv)
+    if not args.lines and len(args.results_path) > 1:
+        parser.error("result documents lie under one folder")
     spark = SparkSession.builder.appName("compare-arms").getOrCreate()
-    result = compare_results(spark, args.results_path, args.base, args.candidate)
-    write_comparison(result, args.output_path, args.base, args.candidate)
+    paths = args.results_path if args.lines else args.results_path[0]
+    run(spark, paths, args.output_path, args.base, args.candidate, args.lines)
 
 
 if __name__ == "__main__":

@@ -207,8 +207,12 @@ def cost_by_mode(
     return experiment_cost(runtime, rates, "cluster_seconds", gb, arm=arm)
 
 
-def cost_map(arm: str) -> Column:
+def cost_map(arm: str = "arm") -> Column:
     """The component columns as the cost map of a run record, under the arm's own names."""
-    parts = ("master_vm", "master_fee", "worker_vm", "worker_fee", "total_compute", "storage")
-    names = (*COST_ENTRIES[arm], "total_compute", "storage")
-    return F.create_map(*[x for name, part in zip(names, parts) for x in (F.lit(name), F.col(part))])
+    parts = ("master_vm", "master_fee", "worker_vm", "worker_fee")
+    costs = F.lit(None).cast("map<string,double>")
+    for known, names in COST_ENTRIES.items():
+        entries = [x for name, part in zip(names, parts) for x in (F.lit(name), F.col(part))]
+        shared = [x for name in ("total_compute", "storage") for x in (F.lit(name), F.col(name))]
+        costs = F.when(F.col(arm) == known, F.create_map(*entries, *shared)).otherwise(costs)
+    return costs

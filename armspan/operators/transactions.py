@@ -11,9 +11,9 @@ from armspan.functions.rounding import exact_sum
 
 # A key with fewer rows than this fits one reduce task and needs no special care.
 HOT_KEY_ROWS = 2_000_000
-# Bound on the keys that are broadcast as hot. A key beyond it is smaller than each
-# of those, so it holds less than 1/1000 of all rows.
-HOT_KEY_LIMIT = 1_000
+# Bound on the totals that are broadcast, some ten megabytes. A key beyond it has fewer
+# rows than each of those, so it holds less than 1/100,000 of all rows.
+HOT_KEY_LIMIT = 100_000
 
 
 def filter_category(facts: DataFrame, values: Sequence[str], category: str = "EXP_TYPE") -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from armspan.functions import identity
 from armspan.functions.measures import transfer_record
+from armspan.operators import cost
 from armspan.operators import transactions as tx
+from armspan.operators.runstats import succeeded, total_recorded
 from armspan.schemas import OPERATION_RESULT, SUITE_RESULT
 
 
@@ -162,14 +165,47 @@ _ATTEMPT = (
 
 
 def attempt_rows(spark: SparkSession, attempts: Sequence[Mapping], provider: str) -> DataFrame:
-    """Attempts as run records, ready for the statistics over runs."""
+    """Attempts of one arm as a table, ready for the statistics over runs."""
     rows = [
-        (a["run"], a["timestamp"], a["timings"], [tuple(e[k] for k in ("timestamp", "message", "type")) for e in a["errors"]])
-        for a in attempts
+        (
+            attempt["run"],
+            attempt["timestamp"],
+            attempt["timings"],
+            [(e["timestamp"], e["message"], e["type"]) for e in attempt["errors"]],
+        )
+        for attempt in attempts
     ]
     return spark.createDataFrame(rows, _ATTEMPT).withColumn("provider", F.lit(provider))
 
 
+def run_records(
+    attempts: DataFrame, rates: DataFrame, kind: str, mode: str, data_gb: float = cost.DEFAULT_DATA_GB
+) -> DataFrame:
+    """Attempts as run records: named, priced by their total time, and summarised."""
+    started = F.col("timestamp").cast("timestamp")
+    timed = attempts.withColumn("_seconds", F.try_element_at("timings", F.lit("total_time")))
+    priced = cost.experiment_cost(timed, rates, "_seconds", F.lit(data_gb), arm="provider")
+    named = identity.run_name(
+        F.lit(kind), F.col("run"), F.date_format(started, "yyyyMMdd_HHmmss"), F.col("provider"), F.lit(mode)
+    )
+    records = priced.select(
+        named.alias("experiment_id"),
+        "provider",
+        started.alias("timestamp"),
+        "timings",
+        cost.cost_map("provider").alias("costs"),
+        F.struct(F.lit(kind).alias("benchmark_type"), F.lit(mode).alias("dataset_mode")).alias("metadata"),
+        "errors",
+        F.col("_seconds"),
+    )
+    summary = F.struct(
+        F.col("_seconds").alias("total_time_seconds"),
+        total_recorded(F.col("costs")).alias("total_cost_usd"),
+        succeeded(F.col("errors")).alias("success"),
+    )
+    return records.withColumn("summary", summary).drop("_seconds")
+
+
 def synthetic_rows(spark: SparkSession, megabytes: int, row_bytes: int = 1024) -> DataFrame:
     """Rows of constant text that add up to ``megabytes``, made by the executors."""
     text = F.repeat(F.lit("X"), row_bytes)

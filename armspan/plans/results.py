@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armspan.functions.identity import ARMS
+from armspan.functions.identity import ARMS, parse_run_name
 from armspan.operators import comparison, runstats
 from armspan.sinks import tables as sinks
 from armspan.sources import records
@@ -26,6 +26,16 @@ STORAGE_FILES = ("storage", "storage_*.json")
 METRIC_FOLDERS = {"aws": "cloud_results/aws", "gcp": "cloud_results/gcp_results"}
 
 
+def _run_columns() -> list[Column | str]:
+    return [
+        "timings",
+        "costs",
+        "errors",
+        F.col("summary.total_time_seconds").alias("total_time"),
+        F.col("summary.total_cost_usd").alias("total_cost"),
+    ]
+
+
 def read_benchmarks(
     spark: SparkSession, root: str, files: Mapping[str, tuple[str, str]] = RUN_FILES
 ) -> DataFrame:
@@ -35,11 +45,7 @@ def read_benchmarks(
             "experiment_id",
             "provider",
             F.lit(name).alias("benchmark"),
-            "timings",
-            "costs",
-            "errors",
-            F.col("summary.total_time_seconds").alias("total_time"),
-            F.col("summary.total_cost_usd").alias("total_cost"),
+            *_run_columns(),
         )
         for name, (folder, glob) in files.items()
     ]
@@ -57,43 +63,68 @@ def read_training(
     return reduce(DataFrame.unionByName, parts)
 
 
+def label_runs(runs: DataFrame) -> DataFrame:
+    """Run records with the benchmark that their names state: kind and mode."""
+    parsed = parse_run_name(F.col("experiment_id"), F.col("provider"))
+    named = runs.withColumn("_name", parsed)
+    return named.select(
+        "experiment_id",
+        F.col("_name.arm").alias("provider"),
+        F.concat_ws(" ", "_name.type", "_name.mode").alias("benchmark"),
+        *_run_columns(),
+    )
+
+
 @dataclass(frozen=True)
-class Comparison:
-    """The tables of a comparison, all lazy."""
+class RunComparison:
+    """Tables over the runs of two arms, all lazy."""
 
     by_arm: DataFrame
     rows: DataFrame
-    storage: DataFrame
-    training: DataFrame
     timings: DataFrame
     costs: DataFrame
 
 
+@dataclass(frozen=True)
+class ResultComparison(RunComparison):
+    """The same with the storage tests and the training metrics."""
+
+    storage: DataFrame
+    training: DataFrame
+
+
+def compare_runs(runs: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1]) -> RunComparison:
+    by = ["benchmark", "provider"]
+    values = {"time": F.col("total_time"), "cost": F.col("total_cost")}
+    return RunComparison(
+        by_arm=runstats.describe_by(runs, by, values),
+        rows=comparison.compare_arms(runs, base, candidate),
+        timings=runstats.timing_key_stats(runs, by),
+        costs=runstats.cost_key_stats(runs, by),
+    )
+
+
 def compare_results(
     spark: SparkSession, root: str, base: str = ARMS[0], candidate: str = ARMS[1]
-) -> Comparison:
-    runs = read_benchmarks(spark, root)
+) -> ResultComparison:
+    runs = compare_runs(read_benchmarks(spark, root), base, candidate)
     folder, glob = STORAGE_FILES
     operations = records.storage_operations(
         records.read_storage_records(spark, f"{root}/{folder}", glob), "provider"
     )
-    by = ["benchmark", "provider"]
-    values = {"time": F.col("total_time"), "cost": F.col("total_cost")}
-    return Comparison(
-        by_arm=runstats.describe_by(runs, by, values),
-        rows=comparison.compare_arms(runs, base, candidate),
+    return ResultComparison(
+        **{field.name: getattr(runs, field.name) for field in fields(runs)},
         storage=comparison.compare_storage(operations, base, candidate),
         training=comparison.compare_ml_metrics(read_training(spark, root), base, candidate),
-        timings=runstats.timing_key_stats(runs, by),
-        costs=runstats.cost_key_stats(runs, by),
     )
 
 
 def write_comparison(
-    result: Comparison, out: str, base: str = ARMS[0], candidate: str = ARMS[1]
+    result: RunComparison, out: str, base: str = ARMS[0], candidate: str = ARMS[1]
 ) -> None:
     """Every table of the comparison under ``out``: report, CSV and JSON."""
     sinks.write_report(result.rows, f"{out}/report", base, candidate, list(RUN_FILES))
     sinks.write_comparison_csv(result.rows, f"{out}/comparison_csv", base, candidate)
-    for name in ("by_arm", "storage", "training", "timings", "costs"):
-        sinks.write_aggregates(getattr(result, name), f"{out}/{name}")
+    for field in fields(result):
+        if field.name != "rows":
+            sinks.write_aggregates(getattr(result, field.name), f"{out}/{field.name}")

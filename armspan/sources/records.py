@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ _CORRUPT = "_corrupt_record"
 
 
 def _read_json(
-    spark: SparkSession, path: str, schema: T.StructType, name_glob: str | None, documents: bool
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, name_glob: str | None, documents: bool
 ) -> DataFrame:
     """Records that fit the schema, with the file each came from; others are skipped.
 
@@ -29,7 +31,7 @@ def _read_json(
     )
     if name_glob is not None:
         reader = reader.option("pathGlobFilter", name_glob)
-    rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("source_file"))
+    rows = reader.json(path if isinstance(path, str) else list(path)).select("*", F.col("_metadata.file_path").alias("source_file"))
     # The check names every field: the parser leaves out fields that nobody reads, and
     # whether a record is skipped must not depend on what a query selects from it.
     every_field = F.size(F.array(*[F.col(name).isNull() for name in schema.names])) > 0
@@ -37,14 +39,14 @@ def _read_json(
 
 
 def read_run_records(
-    spark: SparkSession, path: str, name_glob: str | None = None, documents: bool = True
+    spark: SparkSession, path: str | Sequence[str], name_glob: str | None = None, documents: bool = True
 ) -> DataFrame:
     """Run records; ``timings`` and ``costs`` are maps because their keys differ by arm."""
     return _read_json(spark, path, RUN_RECORD, name_glob, documents)
 
 
 def read_storage_records(
-    spark: SparkSession, path: str, name_glob: str | None = None, documents: bool = True
+    spark: SparkSession, path: str | Sequence[str], name_glob: str | None = None, documents: bool = True
 ) -> DataFrame:
     return _read_json(spark, path, STORAGE_RECORD, name_glob, documents)
 
@@ -62,7 +64,7 @@ def storage_tests(records: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_ml_metrics(
-    spark: SparkSession, path: str, name_glob: str = "part-*.txt", documents: bool = True
+    spark: SparkSession, path: str | Sequence[str], name_glob: str = "part-*.txt", documents: bool = True
 ) -> DataFrame:
     """Training metrics from text part files.
 

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from armspan import session
-from armspan.jobs import ml_job, transactions_job
+from armspan.jobs import compare_job, ml_job, repeat_job, transactions_job
 from armspan.plans import bindings
 from armspan.functions.pixels import flatten_to_columns
 from armspan.operators.sampling import split_by_hash
@@ -21,6 +21,23 @@ def test_transactions_job(spark, small_dir, tmp_path):
         transactions_job.run(spark, data, str(tmp_path / "out"))
 
 
+def test_two_arms_from_runs_to_report(spark, small_dir, tmp_path):
+    data = str(tmp_path / "csv")
+    bindings.transactions(spark, small_dir).write.option("header", True).csv(data)
+    folders = {arm: str(tmp_path / arm) for arm in ("aws", "gcp")}
+    for arm, folder in folders.items():
+        repeat_job.run(spark, data, folder, arm, repeats=2)
+    summary = spark.read.json(f"{folders['gcp']}/summary").first()
+    assert (summary["num_runs"], summary["failed_runs"]) == (2, 0)
+    assert summary["total_cost_mean"] > 0
+    out = str(tmp_path / "out")
+    compare_job.run(spark, [f"{folder}/runs" for folder in folders.values()], out, lines=True)
+    lines = [r["value"] for r in spark.read.text(f"{out}/report").collect()]
+    assert lines[2].startswith("| pyspark sample | Total Time (seconds) | ") and len(lines) == 10
+    keys = {r["key"] for r in spark.read.json(f"{out}/costs").collect()}
+    assert {"master_ec2", "master_vm", "total_compute", "storage", "total"} <= keys
+
+
 def test_ml_job(spark, small_dir, tmp_path):
     wide = flatten_to_columns(bindings.images(spark, small_dir), "image", 64, "vec_id", "label")
     write_split(*split_by_hash(wide, "vec_id", 0.8), str(tmp_path / "data"))

@@ -56,7 +56,7 @@ def test_aggregates_combine_before_the_shuffle(spark, small_dir):
 def test_only_the_bounded_side_is_broadcast(no_broadcast, small_dir):
     plan = _plan(QUERIES["join_customer_summary"](no_broadcast, small_dir))
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
-    assert plan.count("TakeOrderedAndProject(limit=1000") == 2
+    assert plan.count("TakeOrderedAndProject(limit=100000") == 2
 
 
 def test_top_rows_need_no_full_sort(spark, small_dir):
