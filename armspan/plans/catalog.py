@@ -80,6 +80,10 @@ def _run_record_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_source.read_run_records(spark, path, "*.json", documents=False)
 
 
+def _entry_count(entries: str) -> Column:
+    return F.when(F.col(entries).isNull(), 0).otherwise(F.size(entries))
+
+
 @query
 def scan_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _run_record_copy(spark, sf_dir)
@@ -87,8 +91,8 @@ def scan_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "experiment_id",
         "provider",
         F.col("metadata.dataset_mode").alias("mode"),
-        F.coalesce(F.cardinality("timings"), F.lit(0)).alias("timing_keys"),
-        F.coalesce(F.cardinality("costs"), F.lit(0)).alias("cost_keys"),
+        _entry_count("timings").alias("timing_keys"),
+        _entry_count("costs").alias("cost_keys"),
         F.col("summary.total_time_seconds").alias("total_time"),
         F.col("summary.success").cast("int").alias("success"),
     )
