@@ -1,7 +1,8 @@
-"""Names of arms and runs, and stable hash fractions of ids."""
+"""Names of arms and runs, and stable decisions by hashed ids."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -49,9 +50,9 @@ def parse_run_name(
         rf"^(?:.*/)?([a-z]+?)_(?:({'|'.join(arms)})_)?(?:({'|'.join(modes)})_)?"
         r"run(\d+)_(\d{8}_\d{6})(?:\.json)?$"
     )
-    # One match yields all parts; the digits and letters of a name hold no slash.
-    found = F.split(F.regexp_replace(name, pattern, "$1/$2/$3/$4/$5"), "/")
-    parts = F.when(name.rlike(pattern), found)
+    # One match yields all parts. A match drops the word run, so it always alters the name.
+    found = F.regexp_replace(name, pattern, "$1/$2/$3/$4/$5")
+    parts = F.when(found != name, F.split(found, "/"))
     values = {part: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, part in enumerate(_PARTS)}
     if record_arm is not None:
         values["arm"] = F.coalesce(values["arm"], record_arm)
@@ -59,7 +60,15 @@ def parse_run_name(
     return F.struct(*[column.alias(part) for part, column in values.items()])
 
 
-def hash_fraction(key: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by ``key`` and ``seed``, however rows are partitioned."""
+def hash_below(key: Column, fraction: float, seed: int) -> Column:
+    """True for about ``fraction`` of all keys, decided by key and seed alone.
+
+    Hex digits of equal length compare like the numbers they stand for.
+    """
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError("fraction must lie between 0 and 1")
+    limit = math.ceil(fraction * 2**32)
+    if limit == 2**32:
+        return F.lit(True)
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.substring(digest, 1, 8) < f"{limit:08x}"

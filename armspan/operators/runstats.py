@@ -28,7 +28,9 @@ def spread(values: Mapping[str, Column], count: str | None = "n") -> list[Column
 
 
 def describe_by(runs: DataFrame, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    return runs.groupBy(*by).agg(*spread(values))
+    """Spread of each value per group. The values are computed once per row."""
+    narrow = runs.select(*by, *[column.alias(f"_v_{name}") for name, column in values.items()])
+    return narrow.groupBy(*by).agg(*spread({name: F.col(f"_v_{name}") for name in values}))
 
 
 def total_recorded(costs: Column) -> Column:
@@ -41,8 +43,16 @@ def total_net(costs: Column) -> Column:
     return total_recorded(F.map_filter(costs, lambda key, _: key != COMPUTE_SUBTOTAL))
 
 
+def _entry(key: Column, value: Column) -> Column:
+    return F.struct(key.cast("string").alias("key"), value.cast("double").alias("value"))
+
+
 def metric_key_stats(
-    runs: DataFrame, metrics: str, by: Sequence[str], fill_missing: bool = True
+    runs: DataFrame,
+    metrics: str,
+    by: Sequence[str],
+    fill_missing: bool = True,
+    with_total: bool = False,
 ) -> DataFrame:
     """Mean, population deviation, min, max and count of every key of a metric map.
 
@@ -50,16 +60,28 @@ def metric_key_stats(
     without the map is left out. Each run adds one marker entry without a key, so one
     scan gives both the key statistics and the number of runs per group, from which the
     zeros are folded in; no row is made for a missing entry. The window runs over the
-    statistics, one row per distinct key.
+    statistics, one row per distinct key. ``with_total`` adds the sum of each map as the
+    key ``total``, in place of an entry of that name.
     """
     if not by:
         raise ValueError("name at least one grouping column")
-    entries = F.map_entries(metrics)
+    source, columns, extra = F.col(metrics), {}, []
+    if with_total:
+        others = F.map_filter(source, lambda key, _: key != TOTAL_KEY)
+        columns["_map"] = F.when(F.map_contains_key(source, TOTAL_KEY), others).otherwise(source)
+        # Summed before the entries are unfolded, which stays compiled code this way.
+        columns["_total"] = total_recorded(source)
+        extra.append(_entry(F.lit(TOTAL_KEY), F.col("_total")))
+    else:
+        columns["_map"] = source
     if fill_missing:
-        marker = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
-        entries = F.concat(entries, F.array(marker))
+        extra.append(_entry(F.lit(None), F.lit(None)))
+    entries = F.map_entries("_map")
+    if extra:
+        entries = F.concat(entries, F.array(*extra))
     stats = (
-        runs.select(*by, F.inline(entries))
+        runs.select(*by, *[column.alias(name) for name, column in columns.items()])
+        .select(*by, F.inline(entries))
         .groupBy(*by, "key")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
@@ -97,10 +119,7 @@ def timing_key_stats(runs: DataFrame, by: Sequence[str], fill_missing: bool = Tr
 
 def cost_key_stats(runs: DataFrame, by: Sequence[str], fill_missing: bool = True) -> DataFrame:
     """Statistics per cost key, with each run's recorded sum as the key ``total``."""
-    entries = F.map_filter("costs", lambda key, _: key != TOTAL_KEY)
-    total = F.create_map(F.lit(TOTAL_KEY), total_recorded(F.col("costs")))
-    extended = runs.withColumn("costs", F.map_concat(entries, total))
-    return metric_key_stats(extended, "costs", by, fill_missing)
+    return metric_key_stats(runs, "costs", by, fill_missing, with_total=True)
 
 
 def succeeded(errors: Column) -> Column:
@@ -127,9 +146,10 @@ def multi_run_summary(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     recorded = F.try_element_at("timings", F.lit("total_time"))
     time = F.when(F.col("timings").isNotNull(), F.coalesce(recorded, F.lit(0.0)))
-    cost = F.when(F.col("costs").isNotNull(), total_recorded(F.col("costs")))
-    measures = spread({"total_time": time, "total_cost": cost}, count=None)
-    summary = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"), *_success_counts(), *measures)
+    cost = total_recorded(F.col("costs"))
+    narrow = runs.select(*by, "errors", time.alias("_time"), cost.alias("_cost"))
+    measures = spread({"total_time": F.col("_time"), "total_cost": F.col("_cost")}, count=None)
+    summary = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"), *_success_counts(), *measures)
     figures = [c for c in summary.columns if c.startswith(("total_time_", "total_cost_"))]
     return summary.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in figures})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armspan.functions.identity import hash_fraction
+from armspan.functions.identity import hash_below
 
 
 def sample_rows(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -15,10 +15,10 @@ def sample_rows(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 def sample_by_hash(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Sample decided by a hash of ``key``: the same rows for every layout and rerun."""
-    return rows.filter(hash_fraction(F.col(key), seed) < fraction)
+    return rows.filter(hash_below(F.col(key), fraction, seed))
 
 
 def split_by_hash(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two complementary parts, the first holding about ``fraction`` of the rows."""
-    position = hash_fraction(F.col(key), seed)
-    return rows.filter(position < fraction), rows.filter(position >= fraction)
+    first = hash_below(F.col(key), fraction, seed)
+    return rows.filter(first), rows.filter(~first)
