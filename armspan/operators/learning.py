@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The network and the training settings of the measured job.
@@ -65,14 +65,20 @@ def confusion(predictions: DataFrame, label: str = "label", prediction: str = "p
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _side(name: str, true_n: Column, pred_n: Column, hits: Column) -> Column:
+    return F.struct(
+        F.col(name).alias("class"), true_n.alias("true_n"), pred_n.alias("pred_n"), hits.alias("hits")
+    )
+
+
 def scores(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and F1 weighted by true class, from one pass over the predictions."""
     pairs = confusion(predictions, label, prediction)
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
     none = F.lit(0).cast("long")
     sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("true_n"), none.alias("pred_n"), hit.alias("hits")),
-        F.struct(F.col("prediction").alias("class"), none.alias("true_n"), F.col("n").alias("pred_n"), none.alias("hits")),
+        _side("label", F.col("n"), none, hit),
+        _side("prediction", none, F.col("n"), none),
     )
     classes = (
         pairs.select(F.inline(sides))

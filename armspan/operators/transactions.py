@@ -108,6 +108,9 @@ def join_customer_summary(
     execution cannot split such a key here, because the totals come from an
     aggregate. All other rows take an ordinary join. Without hot keys the broadcast is
     empty and adaptive execution drops that branch.
+
+    Count and key alone fix which keys are hot. The order names the other totals too, so
+    that all uses of the summary need the same columns and share one aggregation.
     """
     summary = _summarise(
         facts.filter(F.col(key).isNotNull()),
@@ -120,7 +123,7 @@ def join_customer_summary(
     )
     hot = F.broadcast(
         summary.filter(F.col("total_transactions") > hot_rows)
-        .orderBy(F.desc("total_transactions"), F.asc(key))
+        .orderBy(F.desc("total_transactions"), key, "total_spent", "avg_transaction_amount")
         .limit(hot_limit)
     )
     frequent = facts.join(hot, key, "inner")

@@ -144,7 +144,8 @@ def scan_storage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "features")
-    sinks.write_features(pixels.flatten_to_columns(b.images(spark, sf_dir), "image", b.EMBEDDING_SIZE, "vec_id", "label"), path)
+    wide = pixels.flatten_to_columns(b.images(spark, sf_dir), "image", b.EMBEDDING_SIZE, "vec_id", "label")
+    sinks.write_features(wide, path)
     stored = spark.read.parquet(path)
     gathered = pixels.gather_columns(stored, b.EMBEDDING_SIZE, "vec_id", "label")
     return gathered.select("vec_id", "label", _float_sum(F.col("features")).alias("feature_sum"))
@@ -352,11 +353,12 @@ def pair_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = {
-        arm: F.element_at(F.array(*[F.lit(item) for a, item, _ in cost.PRICES if a == arm]), (F.col("user_id") % 3 + 1).cast("int"))
+    position = (F.col("user_id") % 3).cast("int")
+    aws, gcp = (
+        F.get(F.array(*[F.lit(item) for owner, item, _ in cost.PRICES if owner == arm]), position)
         for arm in identity.ARMS
-    }
-    item = F.when(F.col("provider") == "aws", items["aws"]).otherwise(items["gcp"])
+    )
+    item = F.when(F.col("provider") == "aws", aws).otherwise(gcp)
     return b.named_events(spark, sf_dir).select("event_id", F.col("provider").alias("arm"), item.alias("item"))
 
 

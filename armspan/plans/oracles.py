@@ -67,7 +67,8 @@ _CTES = {
         from runs""",
     "cost_entries": """
         select event_id, experiment_id, provider,
-               case provider when 'aws' then 'master_ec2' else 'master_vm' end as key, master as v from runs where has_costs
+               case provider when 'aws' then 'master_ec2' else 'master_vm' end as key, master as v
+        from runs where has_costs
         union all
         select event_id, experiment_id, provider,
                case provider when 'aws' then 'core_ec2' else 'worker_vm' end, worker from runs where has_costs
@@ -532,6 +533,10 @@ ORACLES["cost_by_dataset_mode"] = _with(
 
 # Machine learning
 
+ORACLES["mlp_train"] = f"""
+    select count(*) as training_rows, cast((64 + 1) * 32 + (32 + 1) * 16 + (16 + 1) * 10 as int) as weights,
+           '[64, 32, 16, 10]' as architecture
+    from embeddings where {_hash_below.format("vec_id", 0.8)}"""
 ORACLES["accuracy"] = _with("select cast(hits as double) / n as accuracy, n from scored", "scored")
 ORACLES["weighted_f1"] = _with("select weighted / n as f1_score, n from scored", "scored")
 

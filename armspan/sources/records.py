@@ -14,7 +14,11 @@ _CORRUPT = "_corrupt_record"
 
 
 def _read_json(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, name_glob: str | None, documents: bool
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    name_glob: str | None,
+    documents: bool,
 ) -> DataFrame:
     """Records that fit the schema, with the file each came from; others are skipped.
 

@@ -13,7 +13,8 @@ def test_scores_equal_the_evaluators(spark):
     )
     found = learning.scores(rows).first()
     for metric, column in (("accuracy", "accuracy"), ("f1", "f1_score")):
-        assert found[column] == pytest.approx(MulticlassClassificationEvaluator(metricName=metric).evaluate(rows), abs=1e-12)
+        expected = MulticlassClassificationEvaluator(metricName=metric).evaluate(rows)
+        assert found[column] == pytest.approx(expected, abs=1e-12)
     assert found["n"] == 997
 
 

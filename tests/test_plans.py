@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from armspan.operators import transactions as tx
+from armspan.plans import bindings
 from armspan.plans.catalog import QUERIES
 
 LAZY = [
@@ -59,6 +61,14 @@ def test_only_the_bounded_side_is_broadcast(no_broadcast, small_dir):
     assert plan.count("TakeOrderedAndProject(limit=100000") == 2
 
 
+def test_join_branches_share_one_aggregation(no_broadcast, small_dir):
+    joined = tx.join_customer_summary(bindings.facts(no_broadcast, small_dir), hot_rows=12)
+    assert joined.count() == 1500
+    assert len(joined.collect()) == 1500
+    final = _plan(joined).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 2 and final.count("FileScan") == 3
+
+
 def test_top_rows_need_no_full_sort(spark, small_dir):
     plan = _plan(QUERIES["preview_top_n"](spark, small_dir))
     assert "TakeOrderedAndProject(limit=5" in plan and "Exchange" not in plan

@@ -11,7 +11,6 @@ ORACLES = contract.oracle_sql()
 # Results that hold times, trained weights or a sample drawn by partition.
 ROWS_ONLY = {
     "sample_fraction_bernoulli",
-    "mlp_train",
     "mlp_predict",
     "ml_result_record",
     "profile_operation",

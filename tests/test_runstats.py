@@ -15,7 +15,12 @@ RUN = (
 def runs(spark):
     failure = [("t", "boom", "X")]
     rows = [
-        ("aws", {"a": 2.0, "b": 4.0, "total_time": 9.0}, {"master": 1.0, "worker": 2.0, "total_compute": 3.0, "storage": 0.5}, []),
+        (
+            "aws",
+            {"a": 2.0, "b": 4.0, "total_time": 9.0},
+            {"master": 1.0, "worker": 2.0, "total_compute": 3.0, "storage": 0.5},
+            [],
+        ),
         ("aws", {"a": 4.0}, {"master": 2.0, "total": 99.0}, failure),
         ("aws", None, None, None),
         ("gcp", {"a": -1.0}, {}, []),
@@ -96,13 +101,15 @@ def test_success_rate(spark):
 
 
 def test_one_arm_gives_no_pairs(spark):
-    stats = spark.createDataFrame([("aws", "ml", 1.0), ("aws", "io", 2.0), ("gcp", "ml", 3.0)], "provider string, benchmark string, mean double")
+    rows = [("aws", "ml", 1.0), ("aws", "io", 2.0), ("gcp", "ml", 3.0)]
+    stats = spark.createDataFrame(rows, "provider string, benchmark string, mean double")
     pairs = comparison.pair_arms(stats, ["benchmark"], ["mean"]).collect()
     assert [tuple(r) for r in pairs] == [("ml", 1.0, 3.0)]
 
 
 def test_compare_arms_and_tally(spark):
-    rows = [("aws", "x", 2.0, 1.0), ("aws", "x", 4.0, 1.0), ("gcp", "x", 6.0, 1.0), ("aws", "y", 1.0, None), ("gcp", "y", 0.5, 1.0)]
+    rows = [("aws", "x", 2.0, 1.0), ("aws", "x", 4.0, 1.0), ("gcp", "x", 6.0, 1.0)]
+    rows += [("aws", "y", 1.0, None), ("gcp", "y", 0.5, 1.0)]
     runs = spark.createDataFrame(rows, "provider string, benchmark string, total_time double, total_cost double")
     compared = comparison.compare_arms(runs)
     found = {(r["benchmark"], r["metric"]): r for r in compared.collect()}
