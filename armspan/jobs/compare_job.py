@@ -8,7 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from armspan.functions.identity import ARMS
-from armspan.plans.results import compare_results, compare_runs, label_runs, write_comparison
+from armspan.plans.results import (
+    compare_results,
+    compare_runs,
+    label_runs,
+    read_benchmarks,
+    write_comparison,
+)
+from armspan.session import kept
 from armspan.sources.records import read_run_records
 
 
@@ -23,10 +30,15 @@ def run(
     """Compares a folder of result documents or, with ``lines``, runs stored as JSON lines."""
     if lines:
         runs = label_runs(read_run_records(spark, results_path, documents=False))
-        result = compare_runs(runs, base, candidate)
     else:
-        result = compare_results(spark, results_path, base, candidate)
-    write_comparison(result, output_path, base, candidate)
+        runs = read_benchmarks(spark, results_path)
+    # Several tables come from the runs, and parsing JSON is the costly part.
+    with kept(runs):
+        if lines:
+            result = compare_runs(runs, base, candidate)
+        else:
+            result = compare_results(spark, results_path, base, candidate, runs)
+        write_comparison(result, output_path, base, candidate)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -13,6 +11,8 @@ from pyspark.ml.classification import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from armspan.session import kept
+
 # The network and the training settings of the measured job.
 LAYERS = (784, 256, 128, 10)
 ITERATIONS_PER_EPOCH = 10
@@ -20,16 +20,6 @@ BLOCK_SIZE = 128
 SEED = 42
 
 
-@contextmanager
-def kept(rows: DataFrame):
-    """Holds ``rows`` in memory and on disk while an iterative step reads them."""
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield rows
-    finally:
-        rows.unpersist()
-
-
 def train_mlp(
     features: DataFrame,
     layers: Sequence[int] = LAYERS,

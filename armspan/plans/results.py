@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from armspan.functions.identity import ARMS, parse_run_name
 from armspan.operators import comparison, runstats
+from armspan.session import kept
 from armspan.sinks import tables as sinks
 from armspan.sources import records
 
@@ -105,15 +106,21 @@ def compare_runs(runs: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1])
 
 
 def compare_results(
-    spark: SparkSession, root: str, base: str = ARMS[0], candidate: str = ARMS[1]
+    spark: SparkSession,
+    root: str,
+    base: str = ARMS[0],
+    candidate: str = ARMS[1],
+    runs: DataFrame | None = None,
 ) -> ResultComparison:
-    runs = compare_runs(read_benchmarks(spark, root), base, candidate)
+    """Compares the result files under ``root``; ``runs`` are its run records if already read."""
+    runs = read_benchmarks(spark, root) if runs is None else runs
+    tables = compare_runs(runs, base, candidate)
     folder, glob = STORAGE_FILES
     operations = records.storage_operations(
         records.read_storage_records(spark, f"{root}/{folder}", glob), "provider"
     )
     return ResultComparison(
-        **{field.name: getattr(runs, field.name) for field in fields(runs)},
+        **{field.name: getattr(tables, field.name) for field in fields(tables)},
         storage=comparison.compare_storage(operations, base, candidate),
         training=comparison.compare_ml_metrics(read_training(spark, root), base, candidate),
     )
@@ -123,8 +130,9 @@ def write_comparison(
     result: RunComparison, out: str, base: str = ARMS[0], candidate: str = ARMS[1]
 ) -> None:
     """Every table of the comparison under ``out``: report, CSV and JSON."""
-    sinks.write_report(result.rows, f"{out}/report", base, candidate, list(RUN_FILES))
-    sinks.write_comparison_csv(result.rows, f"{out}/comparison_csv", base, candidate)
+    with kept(result.rows) as rows:
+        sinks.write_report(rows, f"{out}/report", base, candidate, list(RUN_FILES))
+        sinks.write_comparison_csv(rows, f"{out}/comparison_csv", base, candidate)
     for field in fields(result):
         if field.name != "rows":
             sinks.write_aggregates(getattr(result, field.name), f"{out}/{field.name}")

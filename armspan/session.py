@@ -1,12 +1,15 @@
-"""Session helpers: a local session for tests and the shared scratch folder."""
+"""Session helpers: a local session for tests, the shared scratch folder, kept tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,3 +50,19 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has written yet."""
     return os.path.join(shared_folder(spark), "armspan", f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Keeps ``rows`` in memory and on disk while several jobs read them.
+
+    Rows that the caller already keeps stay kept.
+    """
+    if rows.is_cached:
+        yield rows
+        return
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from armspan.functions.identity import ARMS
 from armspan.functions.rounding import fixed_text
 from armspan.operators.comparison import win_tally
+from armspan.session import kept
 
 # Columns of the comparison file after benchmark and metric.
 _SIDES = ("mean", "std")
@@ -64,10 +65,11 @@ def comparison_columns(rows: DataFrame, base: str = ARMS[0], candidate: str = AR
 
 def write_comparison_csv(rows: DataFrame, path: str, base: str = ARMS[0], candidate: str = ARMS[1]) -> str | None:
     """Comparison rows as CSV with a header; without rows nothing is written."""
-    table = comparison_columns(rows, base, candidate)
-    if table.isEmpty():
-        return None
-    table.coalesce(1).write.option("header", True).csv(path)
+    with kept(rows):
+        if rows.isEmpty():
+            return None
+        table = comparison_columns(rows, base, candidate)
+        table.coalesce(1).write.option("header", True).csv(path)
     return path
 
 
@@ -144,8 +146,9 @@ def write_report(
     benchmarks: Sequence[str] = (),
 ) -> str | None:
     """The comparison as markdown in one text file; without rows nothing is written."""
-    if rows.isEmpty():
-        return None
-    lines = report_table(rows, base, candidate, benchmarks)
-    lines.coalesce(1).sortWithinPartitions(*REPORT_ORDER).select("line").write.text(path)
+    with kept(rows):
+        if rows.isEmpty():
+            return None
+        lines = report_table(rows, base, candidate, benchmarks)
+        lines.coalesce(1).sortWithinPartitions(*REPORT_ORDER).select("line").write.text(path)
     return path

@@ -33,11 +33,12 @@ def mode_registry(paths: Mapping[str, str]) -> dict[str, DatasetMode]:
 
 def read_transactions(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """CSV with a header. Inferring the types costs a pass over the whole file and can
-    take ids such as T1 for timestamps, so the schema is explicit unless asked."""
+    take ids such as T1 for timestamps, so the schema is explicit unless asked. A file
+    whose header differs from the schema fails instead of filling the wrong columns."""
     reader = spark.read.option("header", True)
     if infer:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(TRANSACTIONS).csv(path)
+    return reader.schema(TRANSACTIONS).option("enforceSchema", False).csv(path)
 
 
 def read_mode(

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from armspan.jobs import compare_job
 from armspan.operators import comparison
 from armspan.plans import results
 from armspan.sinks import tables as sinks
@@ -159,6 +160,22 @@ def test_csv_schema_is_explicit(spark, csv_path):
     assert inferred["AMOUNT"] == "double" and inferred["TRANS_ID"] != "string"
 
 
+def test_csv_with_another_header_fails(spark, csv_path, tmp_path):
+    path = tmp_path / "other.csv"
+    path.write_text(CSV.replace("CUST_ID,START_DATE,END_DATE,TRANS_ID", "TRANS_ID,START_DATE,END_DATE,CUST_ID"))
+    with pytest.raises(Exception, match="(?i)header"):
+        tx_source.read_transactions(spark, str(path)).collect()
+    rows = tx_source.read_transactions(spark, csv_path)
+    assert rows.count() == 2 and [r[0] for r in rows.select("AMOUNT").collect()] == [10.5, 20.25]
+    assert rows.groupBy("EXP_TYPE").agg(F.sum("AMOUNT")).count() == 2
+
+
+def test_compare_job_on_documents(spark, root, tmp_path):
+    compare_job.run(spark, root, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "training")).count() == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_modes(spark, csv_path):
     registry = tx_source.mode_registry({"sample": csv_path, "large": csv_path})
     assert (registry["large"].sample_fraction, registry["large"].size_gb) == (0.5, 5.0)
