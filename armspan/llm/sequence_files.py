@@ -1,9 +1,10 @@
 """Token ids as Arrow stream files of equal-length sequences and masks.
 
 A file is an Arrow IPC stream. Each row is one sequence: ``ids`` (fixed-size list of unsigned
-32-bit), ``mask`` (fixed-size list of unsigned 8-bit: 0 padding, 1 token, 2 last token of a
-document) and ``doc_ids`` (the documents that end in the sequence, in order). Documents follow
-one another without gaps; only the last sequence of a file is padded. All batches but the last
+16-bit integers, 32-bit if the vocabulary needs them), ``mask`` (fixed-size list of booleans:
+false for padding), ``ends`` (places of the last tokens of documents in the sequence) and
+``doc_ids`` (those documents). Documents follow one another without gaps; only the last
+sequence of a file is padded. All batches but the last
 hold the same number of sequences, so a sequence is found by arithmetic and, in a mapped file,
 read without a copy.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,11 +32,12 @@ _FILE = "part int, number int, path string, n_docs bigint, n_tokens bigint, n_se
 _DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def sequence_schema(length: int) -> pa.Schema:
+def sequence_schema(length: int, id_type: np.dtype) -> pa.Schema:
     return pa.schema(
         [
-            ("ids", pa.list_(pa.uint32(), length)),
-            ("mask", pa.list_(pa.uint8(), length)),
+            ("ids", pa.list_(pa.from_numpy_dtype(id_type), length)),
+            ("mask", pa.list_(pa.bool_(), length)),
+            ("ends", pa.list_(pa.int32())),
             ("doc_ids", pa.list_(pa.int64())),
         ]
     )
@@ -74,7 +77,7 @@ def write_sequences(
         part, number, out = TaskContext.get().partitionId(), 0, None
         for row in given:
             if out is None:
-                out = _Writer(f"{root}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrows", length)
+                out = _Writer(f"{root}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrows", length, encoder.id_type)
             for piece in parts(row["text"] or "", 262_144):
                 out.add(b"".join(encoder.values([piece])[0]))
             out.end(row["doc_id"], end_id)
@@ -110,7 +113,7 @@ def open_sequences(path: str) -> pa.Table:
     return pa.ipc.open_stream(_source(path)).read_all()
 
 
-def sequence(table: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(table: pa.Table, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of one sequence, without a copy."""
     found = []
     for name in ("ids", "mask"):
@@ -118,9 +121,8 @@ def sequence(table: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
         size = len(column.chunk(0))
         chunk = column.chunk(number // size)
         width = chunk.type.list_size
-        at = number % size * width
-        found.append(chunk.flatten().slice(at, width).to_numpy(zero_copy_only=True))
-    return found[0], found[1]
+        found.append(chunk.flatten().slice(number % size * width, width))
+    return found[0].to_numpy(zero_copy_only=True), found[1]
 
 
 def _source(path: str) -> pa.NativeFile:
@@ -135,25 +137,28 @@ def _documents(path: str, start: int) -> Iterator[tuple]:
     with _source(path) as source:
         for batch in pa.ipc.open_stream(source):
             ids = batch.column("ids").flatten().to_numpy()
-            mask = batch.column("mask").flatten().to_numpy()
+            real = pc.sum(batch.column("mask").flatten()).as_py()
             doc_ids = batch.column("doc_ids").flatten().to_pylist()
-            real = int(np.count_nonzero(mask))
+            ends = batch.column("ends")
+            width = len(ids) // batch.num_rows
+            rows = np.repeat(np.arange(batch.num_rows), ends.value_lengths().to_numpy())
             at = 0
-            for doc_id, last in zip(doc_ids, np.flatnonzero(mask == 2).tolist(), strict=True):
-                crc = zlib.crc32(ids[at : last + 1].data, crc)
+            for doc_id, last in zip(doc_ids, (rows * width + ends.flatten().to_numpy()).tolist(), strict=True):
+                crc = zlib.crc32(ids[at : last + 1].astype("<u4").data, crc)
                 n += last + 1 - at
                 yield doc_id, start, n, crc
                 start, n, crc, at = start + n, 0, 0, last + 1
             # The document at the end of the batch goes on in the next.
-            crc = zlib.crc32(ids[at:real].data, crc)
+            crc = zlib.crc32(ids[at:real].astype("<u4").data, crc)
             n += real - at
 
 
 class _Writer:
     """One file: ids are added in any portions and leave in batches of whole sequences."""
 
-    def __init__(self, path: str, length: int):
-        self._path, self._length, self._schema = path, length, sequence_schema(length)
+    def __init__(self, path: str, length: int, id_type: np.dtype):
+        self._path, self._length, self._type = path, length, id_type
+        self._schema = sequence_schema(length, id_type)
         store, place = fs.FileSystem.from_uri(path)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         self._file = store.open_output_stream(place)
@@ -166,41 +171,40 @@ class _Writer:
 
     def add(self, ids: bytes) -> None:
         self._ids += ids
-        self.n_tokens += len(ids) // 4
-        while len(self._ids) > 4 * self._batch_tokens:
+        self.n_tokens += len(ids) // self._type.itemsize
+        while self._held() > self._batch_tokens:
             self._flush(self._batch_tokens)
 
     def end(self, doc_id: int | None, end_id: int) -> None:
-        self.add(np.array([end_id], "<u4").tobytes())
-        self._ends.append((len(self._ids) // 4, doc_id))
+        self.add(np.array([end_id], self._type).tobytes())
+        self._ends.append((self._held(), doc_id))
         self.n_docs += 1
 
     def close(self) -> tuple[str, int, int, int]:
         while self._ids:
-            self._flush(min(self._batch_tokens, len(self._ids) // 4))
+            self._flush(min(self._batch_tokens, self._held()))
         self._stream.close()
         self._file.close()
         return self._path, self.n_docs, self.n_tokens, self.n_sequences
 
+    def _held(self) -> int:
+        return len(self._ids) // self._type.itemsize
+
     def _flush(self, tokens: int) -> None:
-        rows = -(-tokens // self._length)
-        ids, mask = np.zeros(rows * self._length, "<u4"), np.zeros(rows * self._length, "u1")
-        ids[:tokens] = np.frombuffer(bytes(self._ids[: 4 * tokens]), "<u4")
-        mask[:tokens] = 1
-        done = [(place, doc_id) for place, doc_id in self._ends if place <= tokens]
-        places = np.array([place - 1 for place, _ in done], "i8")
-        mask[places] = 2
-        offsets = np.searchsorted(places, np.arange(rows + 1) * self._length)
-        lists = pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.array([doc_id for _, doc_id in done], pa.int64())
-        )
-        columns = [
+        rows, used = -(-tokens // self._length), tokens * self._type.itemsize
+        ids, mask = np.zeros(rows * self._length, self._type), np.zeros(rows * self._length, bool)
+        ids[:tokens] = np.frombuffer(bytes(self._ids[:used]), self._type)
+        mask[:tokens] = True
+        done = [(place - 1, doc_id) for place, doc_id in self._ends if place <= tokens]
+        places = np.array([place for place, _ in done], "i8")
+        offsets = pa.array(np.searchsorted(places, np.arange(rows + 1) * self._length), pa.int32())
+        arrays = [
             pa.FixedSizeListArray.from_arrays(pa.array(ids), self._length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self._length),
-            lists,
+            pa.ListArray.from_arrays(offsets, pa.array(places % self._length, pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array([doc_id for _, doc_id in done], pa.int64())),
         ]
-        arrays = [column.cast(field.type) for column, field in zip(columns, self._schema, strict=True)]
         self._stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self._schema))
-        del self._ids[: 4 * tokens]
+        del self._ids[:used]
         self._ends = [(place - tokens, doc_id) for place, doc_id in self._ends[len(done) :]]
         self.n_sequences += rows

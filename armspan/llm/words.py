@@ -54,6 +54,8 @@ class WordEncoder:
         self._tokenizer, self._value = Tokenizer.from_file(path), value
         self._known: dict[str, object] = {}
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        # The narrowest unsigned integers that hold every id.
+        self.id_type = np.dtype("<u2" if size <= 2**16 else "<u4")
         self._tokens = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
 
     def values(self, texts: list[str]) -> list[list]:
@@ -151,5 +153,6 @@ def token_lengths(path: str) -> SpacedWords:
 
 @functools.lru_cache(maxsize=2)
 def token_bytes(path: str) -> LoneWords:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return LoneWords(path, lambda ids: np.array(ids, "<u4").tobytes())
+    """Ids as little-endian integers of the encoder's ``id_type``."""
+    encoder = LoneWords(path, lambda ids: np.array(ids, encoder.id_type).tobytes())
+    return encoder
