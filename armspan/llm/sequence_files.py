@@ -28,6 +28,8 @@ from armspan.llm.words import parts, token_bytes
 from armspan.session import fresh_path
 
 _BATCH_SEQUENCES = 256
+# Tasks that read files back, at most.
+_READERS = 20_000
 _FILE = "part int, number int, path string, n_docs bigint, n_tokens bigint, n_sequences bigint"
 _DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -104,7 +106,8 @@ def read_documents(files: DataFrame) -> DataFrame:
         for row in rows:
             yield from _documents(row["path"], row["start"])
 
-    spread = files.select("path", "start").repartition(F.col("path"))
+    # A given number of partitions is kept: adaptive execution would put the few short rows into one task.
+    spread = files.select("path", "start").repartition(max(1, min(files.count(), _READERS)))
     return arrow_map(spread, each, _DOCUMENT)
 
 
