@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,57 +66,57 @@ def top_products(
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    placed = stored(_bucketed(rows, total, bucket_rows), "placed")
+    buckets, edges = _bucketed(rows, total, bucket_rows)
+    placed = stored(buckets, "placed")
     queries = rows.where(is_query & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
     blocks = max(1, -(-queries.count() // query_rows))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")
     queries = stored(queries.select("vec_id", "v", "len", block), "queries")
 
     # The longest vectors give every query its first threshold.
-    first = _matched(placed.where("bucket = 0 and part = 0"), queries, None, blocks, k)
+    unarmed = queries.select("*", F.lit(None).cast("bigint").alias("least"))
+    longest = unarmed.withColumn("bucket", F.lit(0)).withColumn("part", F.lit(0))
+    first = _matched(placed.where("bucket = 0 and part = 0"), longest, blocks, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
     kth = kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     armed = stored(queries.join(kth, "vec_id", "left"), "armed")
 
-    sizes = placed.groupBy("bucket", "part").agg(F.max("len").alias("longest"))
-    found = _matched(placed, armed, sizes, blocks, k)
+    # Buckets are in descending order of length: a query meets a prefix of them.
+    reach = lambda edge: F.col("len") * edge * (1.0 + _ROOM) >= F.col("least")
+    far = F.aggregate(edges, F.lit(0), lambda n, edge: n + reach(edge).cast("int"))
+    far = F.when(F.col("least").isNull(), F.size(edges)).otherwise(far)
+    met = armed.withColumn("bucket", F.explode(F.sequence(F.lit(0), far)))
+    # One row a bucket.
+    parts = placed.groupBy("bucket").agg(F.max("part").alias("last"))
+    met = met.join(F.broadcast(parts), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    found = _matched(placed, met, blocks, k)
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _bucketed(rows: DataFrame, total: int, bucket_rows: int) -> DataFrame:
-    """Adds bucket (0: longest) and part (of a bucket that is too large)."""
+def _bucketed(rows: DataFrame, total: int, bucket_rows: int) -> tuple[DataFrame, Column]:
+    """Adds bucket (0: longest) and part (of a bucket that is too large).
+
+    Also gives what no length in a bucket exceeds, for all buckets but the first.
+    """
     n = -(-total // bucket_rows)
     cuts: list[float] = []
     if n > 1:
         shares = [i / n for i in range(1, n)]
         cuts = sorted({-x for x in rows.agg(F.percentile_approx("len", shares, 10 * n)).first()[0]})
-    if not cuts:
-        bucket = F.lit(0)
-    else:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        # Buckets are few; a sorted search is not worth its code.
-        bucket = F.aggregate(edges, F.lit(0), lambda b, edge: b + (-F.col("len") > edge).cast("int"))
+    edges = F.array(*[F.lit(-c) for c in cuts]).cast("array<double>")
+    bucket = F.aggregate(edges, F.lit(0), lambda b, edge: b + (F.col("len") < edge).cast("int"))
     in_bucket = rows.withColumn("bucket", bucket)
     counts = in_bucket.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(bucket_rows))).alias("parts"))
     # One row a bucket: bounded by the number of cuts.
     joined = in_bucket.join(F.broadcast(counts), "bucket")
     part = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
-    # Equal salts (repeated ids) still share a part; they are one candidate each.
-    return joined.select("vec_id", "v", "len", "bucket", part.alias("part"))
-
-
-def _matched(placed: DataFrame, queries: DataFrame, sizes: DataFrame | None, blocks: int, k: int) -> DataFrame:
-    """Top ``k`` of each bucket for each query that can gain from it."""
-    if sizes is None:
-        met = queries.withColumn("least", F.lit(None).cast("bigint")).select(
-            "*", F.lit(0).alias("bucket"), F.lit(0).alias("part")
-        )
-    else:
-        # One row a bucket; a query is dealt to those whose longest vector can reach its threshold.
-        reach = F.col("len") * F.col("longest") * (1.0 + _ROOM) >= F.col("least")
-        met = queries.join(F.broadcast(sizes), F.col("least").isNull() | reach).drop("longest")
+    return joined.select("vec_id", "v", "len", "bucket", part.alias("part")), edges
+
+
+def _matched(placed: DataFrame, met: DataFrame, blocks: int, k: int) -> DataFrame:
+    """Top ``k`` of each part of a bucket for each query that meets it."""
     keys = ["bucket", "part", "block"]
     candidates = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = met.select("vec_id", "v", "len", "least", *[F.col(c).cast("int").alias(c) for c in keys])
