@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from armspan.llm.common import WORD, nested, numbered, running_before, stored, unnested
 
 # Rows of a source that are numbered in one task, and slots likewise.
-_CHUNK_ROWS = 100_000
+_CHUNK_ROWS = 4_000
 _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -108,7 +108,7 @@ def mix(
 
     # Place of each document in its source's stream.
     most_rows = sizes.agg(F.max("n")).first()[0] or 1
-    chunks = max(1, -(-most_rows // _CHUNK_ROWS)) * 4
+    chunks = max(1, -(-most_rows // _CHUNK_ROWS))
     chunked = rowed.withColumn("chunk", F.pmod("h", F.lit(chunks)))
     streamed = running_before(chunked, ["source_no"], "chunk", ["h", "t"], "size", "at")
     again = streamed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
