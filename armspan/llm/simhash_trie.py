@@ -251,9 +251,9 @@ def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     step = 0
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        rank = lambda name: F.struct(F.xxhash64(name, F.lit(step)), F.col(name))
+        rank = lambda name: F.struct(F.xxhash64(name, F.lit(step)).alias("order"), F.col(name).alias("vertex"))
         best = both.groupBy("u").agg(F.min(rank("v")).alias("best"))
-        moves = best.select("u", F.least(rank("u"), F.col("best"))["col2"].alias("to"))
+        moves = best.select("u", F.least(rank("u"), F.col("best"))["vertex"].alias("to"))
         moves = stored(moves, "moves")
         left = edges.join(moves.toDF("a", "a2"), "a").join(moves.toDF("b", "b2"), "b").where("a2 != b2")
         edges = stored(

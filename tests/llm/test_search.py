@@ -126,6 +126,23 @@ def test_near_duplicates_of_documents(spark, small_dir):
     }
 
 
+def test_chains_of_near_copies(spark):
+    """Copies with a word changed after another: links form chains over several fingerprints."""
+    random.seed(6)
+    rows = []
+    for group in range(6):
+        words = [f"w{random.randint(0, 9999)}" for _ in range(900)]
+        for step in range(8):
+            rows.append((group * 100 + step * 7 % 50, " ".join(words)))
+            words[random.randrange(900)] = f"changed{step}"
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = [(i, slow_print(text)) for i, text in rows]
+    wanted = dict(zip([i for i, _ in rows], components(prints), strict=True))
+    assert len(set(wanted.values())) < len({p for _, p in prints}) < len(rows) + 1
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == wanted
+    assert {r.doc_id for r in one_of_each(df).collect()} == set(wanted.values())
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (2, 3, 5)} == {2}
