@@ -8,13 +8,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armspan.llm.common import arrow_map, nested, pick, stored, unnested
+from armspan.llm.common import arrow_map, nested, pick, unnested
 
 _WORD = re.compile(r"\w+")
-_HIT = "t bigint, doc_id bigint, item_id bigint, item_words int, tiled_words int, coverage double, tiles string"
+_HIT = "doc_id bigint, item_id bigint, item_words int, tiled_words int, coverage double, tiles string"
 # Polynomial hashing of word numbers, modulo 2**64. Equal sequences have equal hashes;
 # equal hashes are verified word by word.
 _BASE = 0x9E3779B97F4A7C15
@@ -138,8 +140,7 @@ def leaks(
     rows and null ids give rows of their own; equal items give a row each. Extra columns are
     ignored; if a table is empty there are no rows.
     """
-    rows = pick(df, "doc_id", "text").withColumn("t", F.lit(None).cast("bigint"))
-    return _hits(rows, benchmark, min_words, coverage, block_bytes).drop("t")
+    return _hits(pick(df, "doc_id", "text"), benchmark, min_words, coverage, block_bytes)
 
 
 def without_leaks(
@@ -147,10 +148,35 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of ``df`` that hold no benchmark item, unchanged, whatever their ids are."""
     rows, col = nested(df)
-    numbered = stored(rows.withColumn("t", F.monotonically_increasing_id()), "screened")
-    texts = numbered.select("t", F.lit(None).cast("bigint").alias("doc_id"), col("text").alias("text"))
-    found = _hits(texts, benchmark, min_words, coverage, block_bytes).select("t").distinct()
-    return unnested(numbered.join(found, "t", "left_anti"), df.columns)
+    for items in _blocks(benchmark, block_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(ItemIndex(items, min_words))
+        rows = rows.where(~_leak_test(shared, coverage)(col("text")))
+    return unnested(rows, df.columns)
+
+
+def _leak_test(shared: Broadcast, coverage: float):
+    @F.pandas_udf("boolean")
+    def leaking(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(True for _ in _tilings(shared.value, text, coverage)) for text in texts], dtype=bool)
+
+    return leaking
+
+
+def _tilings(index: ItemIndex, text: str | None, coverage: float) -> Iterator[tuple]:
+    """(item number, item words, tiled words, tiles) of each item that the text covers."""
+    doc = index.numbers(text)
+    for place, n, left, right in index.seeds(doc):
+        item = index.items[place][1]
+        # The words that seeds touch bound what tiles can cover.
+        covered = np.zeros(len(item) + 1, "i8")
+        np.add.at(covered, right, 1)
+        np.add.at(covered, right + n, -1)
+        if np.count_nonzero(np.cumsum(covered)) < coverage * len(item):
+            continue
+        tiles = sorted(tile(doc, item, n, left, right))
+        total = sum(length for _, _, length in tiles)
+        if total >= coverage * len(item):
+            yield place, len(item), total, tiles
 
 
 def _hits(rows: DataFrame, benchmark: DataFrame, min_words: int, coverage: float, block_bytes: int) -> DataFrame:
@@ -163,21 +189,11 @@ def _hits(rows: DataFrame, benchmark: DataFrame, min_words: int, coverage: float
         def each(given: Iterator[dict], shared=shared) -> Iterator[tuple]:
             index = shared.value
             for row in given:
-                doc = index.numbers(row["text"])
-                for place, n, left, right in index.seeds(doc):
-                    item_id, item = index.items[place]
-                    covered = np.zeros(len(item) + 1, "i8")
-                    np.add.at(covered, right, 1)
-                    np.add.at(covered, right + n, -1)
-                    if np.count_nonzero(np.cumsum(covered)) < coverage * len(item):
-                        continue
-                    tiles = sorted(tile(doc, item, n, left, right))
-                    total = sum(length for _, _, length in tiles)
-                    if total >= coverage * len(item):
-                        text = ",".join(f"{i}:{j}:{length}" for i, j, length in tiles)
-                        yield row["t"], row["doc_id"], item_id, len(item), total, total / len(item), text
-
-        part = arrow_map(rows.select("t", "doc_id", "text"), each, _HIT)
+                for place, words, total, tiles in _tilings(index, row["text"], coverage):
+                    text = ",".join(f"{i}:{j}:{length}" for i, j, length in tiles)
+                    yield row["doc_id"], index.items[place][0], words, total, total / words, text
+
+        part = arrow_map(rows, each, _HIT)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], _HIT) if found is None else found
 
