@@ -60,15 +60,18 @@ def parse_run_name(
     return F.struct(*[column.alias(part) for part, column in values.items()])
 
 
-def hash_below(key: Column, fraction: float, seed: int) -> Column:
+def hash_below(key: Column, fraction: float, seed: int, instead: Column | None = None) -> Column:
     """True for about ``fraction`` of all keys, decided by key and seed alone.
 
-    Hex digits of equal length compare like the numbers they stand for.
+    Where the key is null the text ``instead`` decides; without it a null key fails the
+    query, as one decision for all such rows would keep or lose them together. Hex digits
+    of equal length compare like the numbers they stand for.
     """
     if not 0.0 <= fraction <= 1.0:
         raise ValueError("fraction must lie between 0 and 1")
     limit = math.ceil(fraction * 2**32)
     if limit == 2**32:
         return F.lit(True)
-    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+    missing = F.raise_error(F.lit("a null key decides no sample")).cast("string") if instead is None else instead
+    digest = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), missing), F.lit(str(seed))))
     return F.substring(digest, 1, 8) < f"{limit:08x}"

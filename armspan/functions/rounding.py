@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0
 # From here on a double has no fractional part left to round.
 _NO_FRACTION = 4503599627370496.0
+# Up to here every whole number is a double of its own (2**53).
+_WHOLE_LIMIT = 9007199254740992.0
 # Width of the part of a whole number that exact_sum adds apart.
 _LOW_BITS = 20
 
@@ -45,17 +47,23 @@ def fixed_text(value: Column, digits: int, signed: bool = False) -> Column:
 
 
 def exact_sum(amount: Column, digits: int | None = 2) -> Column:
-    """Sum of values that carry ``digits`` decimals, free of rounding; as a double.
+    """Sum of doubles, free of rounding where all of them carry at most ``digits`` decimals.
 
     A sum of doubles changes with the order in which partial results meet. Whole units
     (cents) do not, and add faster than decimals. Their high and low bits are summed
     apart, so a group can hold some 10**12 rows before an overflow, which would raise.
-    With ``digits`` None the doubles are summed as they are.
+    A group with any other value (more decimals, NaN, infinity, too large for whole
+    units) gets the plain sum of its doubles. So does every group with ``digits`` None.
     """
+    plain = F.sum(amount)
     if digits is None:
-        return F.sum(amount)
-    units = F.rint(amount * float(10**digits)).cast("bigint")
+        return plain
+    scale = float(10**digits)
+    scaled = F.rint(amount.cast("double") * scale)
+    whole = (F.abs(scaled) < _WHOLE_LIMIT) & (scaled / scale == amount)
+    units = F.when(whole, scaled).cast("bigint")
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
     unit = F.lit(Decimal(1).scaleb(-digits))
-    return ((high * F.lit(Decimal(2**_LOW_BITS)) + low) * unit).cast("double")
+    exact = ((high * F.lit(Decimal(2**_LOW_BITS)) + low) * unit).cast("double")
+    return F.when(F.count(amount) == F.count(units), exact).otherwise(plain)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from armspan.plans import profiling
+from armspan.session import require_new
 from armspan.sinks.tables import write_new_document
 from armspan.sources.transactions import mode_registry, read_mode
 
@@ -22,6 +23,8 @@ def run(
     preview_rows: int = 0,
 ) -> dict:
     """Profiles the suite and stores its record; returns the record."""
+    document = f"{output_path}/benchmark_results.json"
+    require_new(spark, document)
     registry = mode_registry({mode: data_path})
     suite = profiling.profile_suite(
         lambda: read_mode(spark, registry, mode, infer=infer, sample_key=sample_key),
@@ -30,7 +33,7 @@ def run(
         sample_fraction=registry[mode].sample_fraction,
         preview_rows=preview_rows,
     )
-    write_new_document(profiling.suite_row(spark, suite), f"{output_path}/benchmark_results.json")
+    write_new_document(profiling.suite_row(spark, suite), document)
     return suite
 
 

@@ -95,7 +95,7 @@ def compare_storage(
 ) -> DataFrame:
     """Storage operations of both arms with the difference of their mean durations."""
     stats = stats_by_operation(operations, arm)
-    figures = ["n", "duration_mean", "duration_std", "duration_min", "duration_max"]
+    figures = ["duration_n", "duration_mean", "duration_std", "duration_min", "duration_max"]
     pairs = pair_arms(stats, ["operation", "order_col"], figures, base, candidate, arm)
     return with_verdict(pairs, base, candidate, "duration_mean", guard=False).drop("winner")
 
@@ -111,7 +111,7 @@ def compare_ml_metrics(
         ).alias("metric", "score"),
     )
     stats = describe_by(long, [arm, "metric"], {"score": F.col("score")})
-    figures = ["n", "score_mean", "score_std", "score_min", "score_max"]
+    figures = ["score_n", "score_mean", "score_std", "score_min", "score_max"]
     pairs = pair_arms(stats, ["metric"], figures, base, candidate, arm)
     return with_verdict(pairs, base, candidate, "score_mean", guard=False).drop("winner")
 

@@ -31,9 +31,10 @@ COST_ENTRIES = {
 DEFAULT_DATA_GB = 0.5
 DEFAULT_STORAGE_HOURS = 24.0
 
+_PARTS = ("master_vm", "master_fee", "worker_vm", "worker_fee")
 _RATE_COLUMNS = ("master_rate", "worker_rate", "node_fee", "storage_rate", "worker_count")
 
-# Literal tables up to this many rows are broadcast.
+# Literal tables up to this many rows carry a broadcast hint; larger ones take any join.
 DIMENSION_ROWS = 10_000
 
 
@@ -60,11 +61,13 @@ SHAPES = (
 
 
 def dimension(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
-    """A literal table to broadcast; its size is known here and checked."""
-    if not 0 < len(rows) <= DIMENSION_ROWS:
-        raise ValueError(f"a literal table holds 1 to {DIMENSION_ROWS} rows, not {len(rows)}")
-    table = pa.table({name: pa.array([row[i] for row in rows]) for i, name in enumerate(names)})
-    return F.broadcast(spark.createDataFrame(table))
+    """A literal table, marked for broadcast up to ``DIMENSION_ROWS`` rows."""
+    if not rows:
+        raise ValueError("a literal table needs a row to tell its types")
+    table = spark.createDataFrame(
+        pa.table({name: pa.array([row[i] for row in rows]) for i, name in enumerate(names)})
+    )
+    return F.broadcast(table) if len(rows) <= DIMENSION_ROWS else table
 
 
 def price_table(spark: SparkSession, prices: Sequence[tuple[str, str, float]] = PRICES) -> DataFrame:
@@ -86,17 +89,49 @@ def price_lookup(
     return joined.withColumn(out, checked).drop("_arm", "_item", "_price")
 
 
+def _looked_up(spark: SparkSession, shapes: Sequence[ClusterShape], prices: DataFrame) -> DataFrame:
+    """The rates of ``rate_table`` from a price table of any size, one row per shape."""
+    wanted = [
+        (shape.arm, shape.worker_count, role, item, float(factor))
+        for shape in shapes
+        for role, item, factor in (
+            ("master_rate", shape.master_type, 1),
+            ("worker_rate", shape.worker_type, 1),
+            ("node_fee", shape.fee_item, shape.vcpus if shape.fee_per_vcpu else 1),
+            ("storage_rate", shape.storage_item, 1),
+        )
+    ]
+    items = dimension(spark, wanted, ["arm", "worker_count", "role", "item", "factor"])
+    # Few prices are needed, so the rest is left out where the table is read.
+    needed = prices.filter(F.col("item").isin(*{item for _, _, _, item, _ in wanted}))
+    priced = price_lookup(items, needed, "item")
+
+    def rate(role: str) -> Column:
+        is_role = F.col("role") == role
+        problem = F.raise_error(F.concat_ws(" ", F.lit("two prices for the"), F.lit(role), F.lit("of"), F.col("arm")))
+        price = F.max(F.when(is_role, F.col("unit_price") * F.col("factor")))
+        return F.when(F.count_if(is_role) > 1, problem).otherwise(price).alias(role)
+
+    rates = priced.groupBy("arm", "worker_count").agg(*[rate(role) for role in _RATE_COLUMNS[:-1]])
+    rates = rates.select(F.col("arm").alias("_rate_arm"), *_RATE_COLUMNS)
+    return F.broadcast(rates) if len(shapes) <= DIMENSION_ROWS else rates
+
+
 def rate_table(
     spark: SparkSession,
     shapes: Sequence[ClusterShape] = SHAPES,
-    prices: Sequence[tuple[str, str, float]] = PRICES,
+    prices: Sequence[tuple[str, str, float]] | DataFrame = PRICES,
 ) -> DataFrame:
     """Hourly and storage rates, one row per arm.
 
     The prices of a shape are settled here, so a run needs a single lookup, by its arm.
+    Prices given as a table (arm, item, unit_price) are looked up by a join; an item
+    without a price or with two then fails the query that needs it.
     """
     if len({shape.arm for shape in shapes}) != len(shapes):
         raise ValueError("an arm has two cluster shapes")
+    if isinstance(prices, DataFrame):
+        return _looked_up(spark, shapes, prices)
     listed = {(arm, item): price for arm, item, price in prices}
 
     def price(arm: str, item: str) -> float:
@@ -208,11 +243,16 @@ def cost_by_mode(
 
 
 def cost_map(arm: str = "arm") -> Column:
-    """The component columns as the cost map of a run record, under the arm's own names."""
-    parts = ("master_vm", "master_fee", "worker_vm", "worker_fee")
-    costs = F.lit(None).cast("map<string,double>")
+    """The component columns as the cost map of a run record.
+
+    The known arms have their own entry names; any other arm has those of the columns.
+    """
+    shared = [x for name in ("total_compute", "storage") for x in (F.lit(name), F.col(name))]
+
+    def entries(names: Sequence[str]) -> Column:
+        return F.create_map(*[x for name, part in zip(names, _PARTS) for x in (F.lit(name), F.col(part))], *shared)
+
+    costs = entries(_PARTS)
     for known, names in COST_ENTRIES.items():
-        entries = [x for name, part in zip(names, parts) for x in (F.lit(name), F.col(part))]
-        shared = [x for name in ("total_compute", "storage") for x in (F.lit(name), F.col(name))]
-        costs = F.when(F.col(arm) == known, F.create_map(*entries, *shared)).otherwise(costs)
+        costs = F.when(F.col(arm) == known, entries(names)).otherwise(costs)
     return costs

@@ -14,10 +14,14 @@ TOTAL_KEY = "total"
 COMPUTE_SUBTOTAL = "total_compute"
 
 
-def spread(values: Mapping[str, Column], count: str | None = "n") -> list[Column]:
-    """Mean, population deviation, minimum and maximum of each named column."""
-    measures = [] if count is None else [F.count(F.lit(1)).alias(count)]
+def spread(values: Mapping[str, Column], counted: bool = True) -> list[Column]:
+    """Mean, population deviation, minimum and maximum of each named column.
+
+    If ``counted``, with the number of values behind them; nulls are left out of all.
+    """
+    measures = []
     for name, column in values.items():
+        measures += [F.count(column).alias(f"{name}_n")] if counted else []
         measures += [
             F.avg(column).alias(f"{name}_mean"),
             F.stddev_pop(column).alias(f"{name}_std"),
@@ -148,7 +152,7 @@ def multi_run_summary(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     time = F.when(F.col("timings").isNotNull(), F.coalesce(recorded, F.lit(0.0)))
     cost = total_recorded(F.col("costs"))
     narrow = runs.select(*by, "errors", time.alias("_time"), cost.alias("_cost"))
-    measures = spread({"total_time": F.col("_time"), "total_cost": F.col("_cost")}, count=None)
+    measures = spread({"total_time": F.col("_time"), "total_cost": F.col("_cost")}, counted=False)
     summary = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"), *_success_counts(), *measures)
     figures = [c for c in summary.columns if c.startswith(("total_time_", "total_cost_"))]
     return summary.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in figures})

@@ -152,7 +152,9 @@ def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _float_sum(values: Column) -> Column:
-    return F.round(F.aggregate(values, F.lit(0.0), lambda total, v: total + v.cast("double")), 6)
+    """Sum of the values, each times its position, so that their order counts."""
+    placed = F.transform(values, lambda v, i: v.cast("double") * (i + 1))
+    return F.round(F.aggregate(placed, F.lit(0.0), lambda total, v: total + v), 6)
 
 
 @query
@@ -551,9 +553,11 @@ def _training_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _training_parts(spark, sf_dir)
     model = learning.train_mlp(train, LAYERS, epochs=2)
+    objective = model.summary().objectiveHistory
     return train.agg(F.count(F.lit(1)).alias("training_rows")).select(
         "training_rows",
         F.lit(model.weights.size).alias("weights"),
+        F.lit(int(objective[-1] < objective[0])).alias("objective_fell"),
         F.array(*[F.lit(n) for n in LAYERS]).cast("string").alias("architecture"),
     )
 
@@ -561,7 +565,9 @@ def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _training_parts(spark, sf_dir)
-    return learning.predict(learning.train_mlp(train, LAYERS, epochs=2), test).drop("features")
+    predicted = learning.predict(learning.train_mlp(train, LAYERS, epochs=2), test)
+    is_class = F.col("prediction").isin(*[float(n) for n in range(LAYERS[-1])])
+    return predicted.select("vec_id", "label", is_class.cast("int").alias("is_class"))
 
 
 @query
@@ -588,8 +594,9 @@ def ml_result_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = fresh_path(spark, "ml")
     sinks.write_document(record, path)
+    inside = F.col("accuracy").between(0, 1) & F.col("f1_score").between(0, 1) & (F.col("training_time_seconds") > 0)
     return record_source.read_ml_metrics(spark, path).select(
-        "training_time_seconds", "accuracy", "f1_score", "epochs", F.to_json("architecture").alias("architecture")
+        "epochs", F.to_json("architecture").alias("architecture"), inside.cast("int").alias("in_bounds")
     )
 
 
@@ -608,23 +615,29 @@ def _orders_operations() -> list[profiling.Operation]:
     ]
 
 
+def _outcome(rows: DataFrame) -> DataFrame:
+    """What an operation record says apart from its time."""
+    return rows.select("name", "description", "result_rows", F.col("success").cast("int").alias("success"))
+
+
 @query
 def profile_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operation = profiling.Operation("agg_by_customer", "Total spending per customer", tx.agg_by_customer)
-    return profiling.operation_rows(spark, [profiling.profile_operation(operation, b.facts(spark, sf_dir))])
+    operation = profiling.Operation("agg_by_customer", "Totals of each customer", tx.agg_by_customer)
+    record = profiling.profile_operation(operation, b.facts(spark, sf_dir))
+    return _outcome(profiling.operation_rows(spark, [record]))
 
 
 @query
 def profile_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = profiling.profile_suite(lambda: b.facts(spark, sf_dir), _orders_operations(), data_path=sf_dir)
-    return profiling.operation_rows(spark, suite["operations"])
+    return _outcome(profiling.operation_rows(spark, suite["operations"]))
 
 
 @query
 def profile_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = lambda number: profiling.profile_suite(lambda: b.facts(spark, sf_dir), _orders_operations())
     runs = profiling.attempt_rows(spark, profiling.profile_repeated(run, 2), "local")
-    return runstats.timing_key_stats(runs, ["provider"])
+    return runstats.timing_key_stats(runs, ["provider"]).select("provider", "key", "count")
 
 
 @query
@@ -635,4 +648,5 @@ def compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_io_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.table_io_profile(b.table(spark, sf_dir, "lineitem"), fresh_path(spark, "io"))
+    measured = profiling.table_io_profile(b.table(spark, sf_dir, "lineitem"), fresh_path(spark, "io"))
+    return measured.select("operation", "result_rows")

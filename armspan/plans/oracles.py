@@ -197,7 +197,8 @@ ORACLES["scan_storage_records"] = _with(
 
 # Sinks
 
-_SUM = "round(list_sum(v), 6)"
+_PLACED_SUM = "round(list_sum(list_transform({0}, lambda x, i: x * i)), 6)"
+_SUM = _PLACED_SUM.format("v")
 ORACLES["sink_parquet"] = _with(f"select vec_id, label, {_SUM} as feature_sum from embedded", "embedded")
 
 _SPREAD = """
@@ -284,9 +285,9 @@ ORACLES["assemble_features"] = ORACLES["assemble_wide_features"] = _with(
     f"select vec_id, label, cast(len(v) as int) as n, {_SUM} as feature_sum from embedded", "embedded"
 )
 
-ORACLES["normalise_pixels"] = """
+ORACLES["normalise_pixels"] = f"""
     select vec_id, cast(p[1] as double) as first_pixel, cast(list_max(p) as double) as max_pixel,
-           round(list_sum(cast(p as double[])), 6) as pixel_sum
+           {_PLACED_SUM.format("cast(p as double[])")} as pixel_sum
     from (select vec_id, list_transform(cast(embedding as double[]),
                  lambda x: cast((cast(floor(abs(x) * 1000) as int) % 256) / 255.0::double as float)) as p
           from embeddings)"""
@@ -385,7 +386,8 @@ ORACLES["count_rows"] = "select count(*) as row_count from orders"
 
 ORACLES["describe_by_arm"] = _with(
     f"""
-    select provider, count(*) as n, {_SPREAD.format("time", "total_time")}, {_SPREAD.format("cost", "total_cost")}
+    select provider, count(total_time) as time_n, {_SPREAD.format("time", "total_time")},
+           count(total_cost) as cost_n, {_SPREAD.format("cost", "total_cost")}
     from totals group by provider""",
     "named",
     "totals",
@@ -395,12 +397,12 @@ ORACLES["describe_by_arm"] = _with(
 def _paired_stats(by: str, value: str, source: str, name: str, *ctes: str) -> str:
     """Spread per arm, both arms side by side, and the difference of their means."""
     sides = ", ".join(
-        f"{letter}.n as {side}_n, round({letter}.mean, 6) as {side}_{name}_mean, "
+        f"{letter}.n as {side}_{name}_n, round({letter}.mean, 6) as {side}_{name}_mean, "
         f"round({letter}.std, 6) as {side}_{name}_std, {letter}.lo as {side}_{name}_min, {letter}.hi as {side}_{name}_max"
         for letter, side in (("a", "base"), ("g", "cand"))
     )
     keys = by.split(", ")
-    stats = f"""select provider, {by}, count(*) as n, avg({value}) as mean, stddev_pop({value}) as std,
+    stats = f"""select provider, {by}, count({value}) as n, avg({value}) as mean, stddev_pop({value}) as std,
                        min({value}) as lo, max({value}) as hi from {source} group by provider, {by}"""
     return _with(
         f"""
@@ -535,13 +537,61 @@ ORACLES["cost_by_dataset_mode"] = _with(
 
 ORACLES["mlp_train"] = f"""
     select count(*) as training_rows, cast((64 + 1) * 32 + (32 + 1) * 16 + (16 + 1) * 10 as int) as weights,
-           '[64, 32, 16, 10]' as architecture
+           1 as objective_fell, '[64, 32, 16, 10]' as architecture
     from embeddings where {_hash_below.format("vec_id", 0.8)}"""
+ORACLES["mlp_predict"] = f"""
+    select vec_id, label, 1 as is_class from embeddings where not ({_hash_below.format("vec_id", 0.8)})"""
+ORACLES["ml_result_record"] = """
+    select 2 as epochs, '[64,32,16,10]' as architecture, 1 as in_bounds"""
 ORACLES["accuracy"] = _with("select cast(hits as double) / n as accuracy, n from scored", "scored")
 ORACLES["weighted_f1"] = _with("select weighted / n as f1_score, n from scored", "scored")
 
 # Profiling
 
+
+def _outcomes(*operations: tuple[str, str, str]) -> str:
+    return _with(
+        " union all ".join(
+            f"select '{name}' as name, '{text}' as description, ({rows}) as result_rows, 1 as success"
+            for name, text, rows in operations
+        ),
+        "facts",
+    )
+
+
+_GROUPS = """select count(*) from (select distinct {0} from facts)"""
+ORACLES["profile_operation"] = _outcomes(
+    ("agg_by_customer", "Totals of each customer", _GROUPS.format('"CUST_ID"'))
+)
+_SUITE = (
+    (
+        "filter_expense_type",
+        "Rows of two categories",
+        """select count(*) from facts where "EXP_TYPE" in ('1-URGENT', '5-LOW')""",
+    ),
+    (
+        "filter_complex",
+        "Rows of one category and two years above an amount",
+        """select count(*) from facts where "EXP_TYPE" = '1-URGENT' and "AMOUNT" > 300000 and "YEAR" in (1996, 1997)""",
+    ),
+    ("agg_by_customer", "Sum, count and mean of each customer", _GROUPS.format('"CUST_ID"')),
+    ("agg_by_expense_type", "Sum, count and mean of each category", _GROUPS.format('"EXP_TYPE"')),
+    ("agg_monthly_trends", "Sum and count of each month, in order", _GROUPS.format('"YEAR", "MONTH"')),
+    ("sort_by_amount_desc", "All rows, largest amount first", "select count(*) from facts"),
+    (
+        "join_customer_summary",
+        "Each row beside the figures of its customer",
+        """select count("CUST_ID") from facts""",
+    ),
+)
+ORACLES["profile_suite"] = _outcomes(*_SUITE)
+# Both repeats of the suite time each operation, the whole of it and the attempt.
+ORACLES["profile_repeated"] = "select 'local' as provider, key, 2::bigint as count from (values {0}) as t(key)".format(
+    ", ".join(f"('{name}')" for name in (*[entry[0] for entry in _SUITE], "benchmark_execution", "total_time"))
+)
+ORACLES["table_io_profile"] = """
+    select operation, n as result_rows
+    from (values ('write'), ('sequential_read')) as t(operation), (select count(*) as n from lineitem)"""
 ORACLES["compare_arms"] = _with(
     """
     select benchmark, metric, round(base_mean, 6) as base_mean, round(base_std, 6) as base_std,

@@ -32,19 +32,19 @@ class Operation:
 TRANSACTION_OPERATIONS = (
     Operation(
         "filter_expense_type",
-        "Filter Housing and Entertainment expenses",
+        "Rows of two categories",
         lambda df: tx.filter_category(df, ["Housing", "Entertainment"]),
     ),
     Operation(
         "filter_complex",
-        "Complex filter: Housing > $300 in 2018-2019",
+        "Rows of one category and two years above an amount",
         lambda df: tx.filter_conjunctive(df, "Housing", 300, [2018, 2019]),
     ),
-    Operation("agg_by_customer", "Total spending per customer", tx.agg_by_customer),
-    Operation("agg_by_expense_type", "Total spending per expense type", tx.agg_by_category),
-    Operation("agg_monthly_trends", "Monthly spending trends", tx.agg_monthly),
-    Operation("sort_by_amount_desc", "Sort by amount, largest first", tx.sort_by_amount),
-    Operation("join_customer_summary", "Join transactions with customer summary", tx.join_customer_summary),
+    Operation("agg_by_customer", "Sum, count and mean of each customer", tx.agg_by_customer),
+    Operation("agg_by_expense_type", "Sum, count and mean of each category", tx.agg_by_category),
+    Operation("agg_monthly_trends", "Sum and count of each month, in order", tx.agg_monthly),
+    Operation("sort_by_amount_desc", "All rows, largest amount first", tx.sort_by_amount),
+    Operation("join_customer_summary", "Each row beside the figures of its customer", tx.join_customer_summary),
 )
 
 
@@ -181,10 +181,21 @@ def attempt_rows(spark: SparkSession, attempts: Sequence[Mapping], provider: str
 def run_records(
     attempts: DataFrame, rates: DataFrame, kind: str, mode: str, data_gb: float = cost.DEFAULT_DATA_GB
 ) -> DataFrame:
-    """Attempts as run records: named, priced by their total time, and summarised."""
+    """Attempts as run records: named, priced, and summarised.
+
+    The cluster costs what its provisioning, if recorded, and the execution took. An
+    attempt that did not come to an end has no cost entries.
+    """
     started = F.col("timestamp").cast("timestamp")
-    timed = attempts.withColumn("_seconds", F.try_element_at("timings", F.lit("total_time")))
-    priced = cost.experiment_cost(timed, rates, "_seconds", F.lit(data_gb), arm="provider")
+    taken = lambda key: F.try_element_at("timings", F.lit(key))
+    timed = attempts.withColumns(
+        {
+            "_seconds": taken("total_time"),
+            "_cluster": F.coalesce(taken("cluster_provisioning"), F.lit(0.0)) + taken("benchmark_execution"),
+        }
+    )
+    priced = cost.experiment_cost(timed, rates, "_cluster", F.lit(data_gb), arm="provider")
+    costs = F.when(F.col("_cluster").isNotNull(), cost.cost_map("provider"))
     named = identity.run_name(
         F.lit(kind), F.col("run"), F.date_format(started, "yyyyMMdd_HHmmss"), F.col("provider"), F.lit(mode)
     )
@@ -193,7 +204,7 @@ def run_records(
         "provider",
         started.alias("timestamp"),
         "timings",
-        cost.cost_map("provider").alias("costs"),
+        F.coalesce(costs, F.create_map().cast("map<string,double>")).alias("costs"),
         F.struct(F.lit(kind).alias("benchmark_type"), F.lit(mode).alias("dataset_mode")).alias("metadata"),
         "errors",
         F.col("_seconds"),
@@ -207,8 +218,9 @@ def run_records(
 
 
 def synthetic_rows(spark: SparkSession, megabytes: int, row_bytes: int = 1024) -> DataFrame:
-    """Rows of constant text that add up to ``megabytes``, made by the executors."""
-    text = F.repeat(F.lit("X"), row_bytes)
+    """Rows of text that add up to ``megabytes`` and hardly compress, made by the executors."""
+    digests = [F.sha2(F.concat_ws(":", F.col("id"), F.lit(i)), 256) for i in range(-(-row_bytes // 64))]
+    text = F.substring(F.concat(*digests), 1, row_bytes)
     return spark.range(megabytes * 1024 * 1024 // row_bytes).select("id", text.alias("payload"))
 
 
@@ -220,19 +232,24 @@ def _bytes_under(spark: SparkSession, path: str) -> int:
 
 
 def table_io_profile(rows: DataFrame, path: str) -> DataFrame:
-    """Writes a table as Parquet, scans it back and reports MB, seconds and MB/s of both."""
+    """Writes a table as Parquet, scans it back and reports rows, MB, seconds and MB/s of both."""
     spark = rows.sparkSession
     figures = []
     start = time.perf_counter()
-    rows.write.parquet(path)
-    figures.append(("write", time.perf_counter() - start))
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    figures.append(("write", seen.get["rows"], time.perf_counter() - start))
     start = time.perf_counter()
-    drain(spark.read.parquet(path))
-    figures.append(("sequential_read", time.perf_counter() - start))
+    scanned = drain(spark.read.parquet(path))
+    figures.append(("sequential_read", scanned, time.perf_counter() - start))
     size_mb = _bytes_under(spark, path) / (1024.0 * 1024.0)
     measured = spark.createDataFrame(
-        [(name, size_mb, seconds) for name, seconds in figures], "operation string, mb double, seconds double"
+        [(name, count, size_mb, seconds) for name, count, seconds in figures],
+        "operation string, result_rows bigint, mb double, seconds double",
     )
     return measured.select(
-        "operation", *transfer_record(F.col("mb"), F.col("seconds")), F.lit(None).cast("string").alias("error")
+        "operation",
+        "result_rows",
+        *transfer_record(F.col("mb"), F.col("seconds")),
+        F.lit(None).cast("string").alias("error"),
     )

@@ -65,13 +65,18 @@ def read_training(
 
 
 def label_runs(runs: DataFrame) -> DataFrame:
-    """Run records with the benchmark that their names state: kind and mode."""
+    """Run records with the benchmark that their names state: kind and mode.
+
+    A run whose name states no kind is a benchmark of its own, under its whole name.
+    """
     parsed = parse_run_name(F.col("experiment_id"), F.col("provider"))
     named = runs.withColumn("_name", parsed)
     return named.select(
         "experiment_id",
         F.col("_name.arm").alias("provider"),
-        F.concat_ws(" ", "_name.type", "_name.mode").alias("benchmark"),
+        F.when(F.col("_name.type").isNull(), F.col("experiment_id"))
+        .otherwise(F.concat_ws(" ", "_name.type", "_name.mode"))
+        .alias("benchmark"),
         *_run_columns(),
     )
 

@@ -52,6 +52,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), "armspan", f"{label}-{uuid.uuid4().hex}")
 
 
+def require_new(spark: SparkSession, path: str) -> None:
+    """Fails if ``path`` exists, before hours of work end at it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(f"{path} already exists")
+
+
 @contextmanager
 def kept(rows: DataFrame) -> Iterator[DataFrame]:
     """Keeps ``rows`` in memory and on disk while several jobs read them.

@@ -34,8 +34,8 @@ def as_json(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_document(record: DataFrame, path: str) -> None:
-    """A one-row result as one JSON text file, replacing an earlier one."""
-    as_json(record).coalesce(1).write.mode("overwrite").text(path)
+    """A one-row result as JSON text, replacing an earlier one."""
+    as_json(record).write.mode("overwrite").text(path)
 
 
 def write_new_document(record: DataFrame, path: str) -> None:
@@ -64,12 +64,15 @@ def comparison_columns(rows: DataFrame, base: str = ARMS[0], candidate: str = AR
 
 
 def write_comparison_csv(rows: DataFrame, path: str, base: str = ARMS[0], candidate: str = ARMS[1]) -> str | None:
-    """Comparison rows as CSV with a header; without rows nothing is written."""
+    """Comparison rows as CSV with a header, sorted; without rows nothing is written.
+
+    Adaptive execution makes one file of a small table.
+    """
     with kept(rows):
         if rows.isEmpty():
             return None
         table = comparison_columns(rows, base, candidate)
-        table.coalesce(1).write.option("header", True).csv(path)
+        table.orderBy("benchmark", "metric").write.option("header", True).csv(path)
     return path
 
 
@@ -145,10 +148,13 @@ def write_report(
     candidate: str = ARMS[1],
     benchmarks: Sequence[str] = (),
 ) -> str | None:
-    """The comparison as markdown in one text file; without rows nothing is written."""
+    """The comparison as markdown text; without rows nothing is written.
+
+    A small report is one file, and the files of a long one continue each other by name.
+    """
     with kept(rows):
         if rows.isEmpty():
             return None
         lines = report_table(rows, base, candidate, benchmarks)
-        lines.coalesce(1).sortWithinPartitions(*REPORT_ORDER).select("line").write.text(path)
+        lines.orderBy(*REPORT_ORDER).select("line").write.text(path)
     return path

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,46 +13,91 @@ from armspan.schemas import ML_METRICS, RUN_RECORD, STORAGE_RECORD
 _CORRUPT = "_corrupt_record"
 
 
+def _reader(
+    spark: SparkSession, name_glob: str | None, documents: bool, schema: T.StructType, mode: str
+) -> DataFrameReader:
+    reader = (
+        spark.read.schema(schema)
+        .option("mode", mode)
+        .option("multiLine", documents)
+        .option("timeZone", "UTC")
+        .option("recursiveFileLookup", True)
+    )
+    return reader if name_glob is None else reader.option("pathGlobFilter", name_glob)
+
+
+def _load(reader: DataFrameReader, path: str | Sequence[str]) -> DataFrame:
+    rows = reader.json(path if isinstance(path, str) else list(path))
+    return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
+
+
+def _judged(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, name_glob: str | None, documents: bool
+) -> DataFrame:
+    """All records, with the text of those that do not fit the schema in ``_corrupt_record``."""
+    wider = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    reader = _reader(spark, name_glob, documents, wider, "PERMISSIVE")
+    rows = _load(reader.option("columnNameOfCorruptRecord", _CORRUPT), path)
+    # The check names every field: the parser leaves out fields that nobody reads, and
+    # whether a record fits must not depend on what a query selects from it.
+    every_field = F.size(F.array(*[F.col(name).isNull() for name in schema.names])) > 0
+    return rows.filter(every_field)
+
+
 def _read_json(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType,
     name_glob: str | None,
     documents: bool,
+    skip_broken: bool,
 ) -> DataFrame:
-    """Records that fit the schema, with the file each came from; others are skipped.
-
-    ``documents`` reads files that hold one pretty-printed object each; otherwise
-    every line is a record, and large files split over tasks.
+    """Records with the file each came from.
+
+    A record that does not parse fails the query that reads it, and so does a field of
+    another type that the query selects; fields it does not select are not parsed. With
+    ``skip_broken`` the records that do not fit the schema are left out instead, the same
+    ones whatever a query selects; ``rejected_records`` returns them. ``documents`` reads
+    files that hold one pretty-printed object each; otherwise every line is a record, and
+    large files split over tasks.
     """
-    reader = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("multiLine", documents)
-        .option("timeZone", "UTC")
-        .option("recursiveFileLookup", True)
-    )
-    if name_glob is not None:
-        reader = reader.option("pathGlobFilter", name_glob)
-    rows = reader.json(path if isinstance(path, str) else list(path)).select("*", F.col("_metadata.file_path").alias("source_file"))
-    # The check names every field: the parser leaves out fields that nobody reads, and
-    # whether a record is skipped must not depend on what a query selects from it.
-    every_field = F.size(F.array(*[F.col(name).isNull() for name in schema.names])) > 0
-    return rows.filter(F.col(_CORRUPT).isNull() & every_field).drop(_CORRUPT)
+    if skip_broken:
+        rows = _judged(spark, path, schema, name_glob, documents)
+        return rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return _load(_reader(spark, name_glob, documents, schema, "FAILFAST"), path)
+
+
+def rejected_records(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType = RUN_RECORD,
+    name_glob: str | None = None,
+    documents: bool = True,
+) -> DataFrame:
+    """File and text of the records that a reader with ``skip_broken`` leaves out."""
+    rows = _judged(spark, path, schema, name_glob, documents).filter(F.col(_CORRUPT).isNotNull())
+    return rows.select("source_file", F.col(_CORRUPT).alias("text"))
 
 
 def read_run_records(
-    spark: SparkSession, path: str | Sequence[str], name_glob: str | None = None, documents: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    name_glob: str | None = None,
+    documents: bool = True,
+    skip_broken: bool = False,
 ) -> DataFrame:
     """Run records; ``timings`` and ``costs`` are maps because their keys differ by arm."""
-    return _read_json(spark, path, RUN_RECORD, name_glob, documents)
+    return _read_json(spark, path, RUN_RECORD, name_glob, documents, skip_broken)
 
 
 def read_storage_records(
-    spark: SparkSession, path: str | Sequence[str], name_glob: str | None = None, documents: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    name_glob: str | None = None,
+    documents: bool = True,
+    skip_broken: bool = False,
 ) -> DataFrame:
-    return _read_json(spark, path, STORAGE_RECORD, name_glob, documents)
+    return _read_json(spark, path, STORAGE_RECORD, name_glob, documents, skip_broken)
 
 
 def storage_operations(records: DataFrame, *keep: str) -> DataFrame:
@@ -74,7 +119,7 @@ def read_ml_metrics(
 
     Files that do not parse are skipped; an absent accuracy or F1 counts as 0.
     """
-    rows = _read_json(spark, path, ML_METRICS, name_glob, documents)
+    rows = _read_json(spark, path, ML_METRICS, name_glob, documents, skip_broken=True)
     return rows.withColumns(
         {name: F.coalesce(F.col(name), F.lit(0.0)) for name in ("accuracy", "f1_score")}
     )

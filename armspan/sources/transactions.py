@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from armspan.operators.sampling import sample_by_hash, sample_rows
 from armspan.schemas import TRANSACTIONS
 
+_CORRUPT = "_corrupt_record"
+
 
 @dataclass(frozen=True)
 class DatasetMode:
@@ -31,14 +35,44 @@ def mode_registry(paths: Mapping[str, str]) -> dict[str, DatasetMode]:
     }
 
 
-def read_transactions(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+def _csv(spark: SparkSession, mode: str) -> DataFrameReader:
+    # Whether a row has all its fields shows only when none of them is left out.
+    return spark.read.option("header", True).option("mode", mode).option("columnPruning", False)
+
+
+def _judged(spark: SparkSession, path: str) -> DataFrame:
+    """All rows, with the text of those that do not fit the schema in ``_corrupt_record``."""
+    wider = T.StructType([*TRANSACTIONS.fields, T.StructField(_CORRUPT, T.StringType())])
+    reader = _csv(spark, "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    rows = reader.schema(wider).option("enforceSchema", False).csv(path)
+    # Names every field, so that a row fits or not whatever a query selects from it.
+    every_field = F.size(F.array(*[F.col(name).isNull() for name in TRANSACTIONS.names])) > 0
+    return rows.filter(every_field)
+
+
+def read_transactions(
+    spark: SparkSession, path: str, infer: bool = False, skip_malformed: bool = False
+) -> DataFrame:
     """CSV with a header. Inferring the types costs a pass over the whole file and can
     take ids such as T1 for timestamps, so the schema is explicit unless asked. A file
-    whose header differs from the schema fails instead of filling the wrong columns."""
-    reader = spark.read.option("header", True)
+    whose header differs from the schema fails instead of filling the wrong columns.
+
+    A row with too few or too many fields fails the query, and so does a field of another
+    type that the query selects. With ``skip_malformed``, which needs the explicit schema,
+    such rows are left out instead; ``rejected_transactions`` returns them.
+    """
     if infer:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(TRANSACTIONS).option("enforceSchema", False).csv(path)
+        if skip_malformed:
+            raise ValueError("without a schema no row is malformed by its types")
+        return _csv(spark, "FAILFAST").option("inferSchema", True).csv(path)
+    if skip_malformed:
+        return _judged(spark, path).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return _csv(spark, "FAILFAST").schema(TRANSACTIONS).option("enforceSchema", False).csv(path)
+
+
+def rejected_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """Text of the rows that do not fit the schema."""
+    return _judged(spark, path).filter(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("text"))
 
 
 def read_mode(

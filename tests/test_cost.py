@@ -70,3 +70,30 @@ def test_cost_map_uses_the_names_of_the_arm(spark, rates):
     runs = spark.createDataFrame([("gcp", 3600.0)], "arm string, seconds double")
     entries = cost.experiment_cost(runs, rates, "seconds").select(cost.cost_map().alias("m")).first()["m"]
     assert set(entries) == {*cost.COST_ENTRIES["gcp"], "total_compute", "storage"}
+
+
+def test_price_tables_of_any_size(spark, rates):
+    many = [(*entry,) for entry in cost.PRICES] + [("aws", f"type{i}", float(i)) for i in range(20_000)]
+    table = cost.price_table(spark, many)
+    looked_up = cost.rate_table(spark, prices=table)
+    by_arm = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert by_arm(looked_up) == by_arm(rates)
+    items = spark.createDataFrame([("aws", "type19999")], "arm string, item string")
+    assert cost.price_lookup(items, table, "item").first()["unit_price"] == 19999.0
+
+
+def test_prices_of_a_table_are_checked(spark):
+    prices = spark.createDataFrame(list(cost.PRICES[1:]), "arm string, item string, unit_price double")
+    with pytest.raises(Exception, match="no price for aws m4.large"):
+        cost.rate_table(spark, prices=prices).collect()
+    twice = spark.createDataFrame([*cost.PRICES, cost.PRICES[0]], "arm string, item string, unit_price double")
+    with pytest.raises(Exception, match="two prices for the master_rate of aws"):
+        cost.rate_table(spark, prices=twice).collect()
+
+
+def test_cost_map_of_another_arm(spark):
+    shape = replace(cost.SHAPES[0], arm="lab")
+    rates = cost.rate_table(spark, [shape], [("lab", item, price) for arm, item, price in cost.PRICES if arm == "aws"])
+    runs = spark.createDataFrame([("lab", 3600.0)], "arm string, seconds double")
+    entries = cost.experiment_cost(runs, rates, "seconds").select(cost.cost_map().alias("m")).first()["m"]
+    assert entries["master_vm"] == 0.1 and entries["total_compute"] == pytest.approx(0.39)

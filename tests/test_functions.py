@@ -132,3 +132,16 @@ def test_null_features_fail(spark):
     tidy = spark.createDataFrame([([1.0, None],)], "v array<float>")
     with pytest.raises(Exception, match="null in feature column v"):
         pixels.assemble_array(tidy, "v").collect()
+
+
+@pytest.mark.parametrize("values", [[0.004] * 1000, [0.1, float("nan")], [1e17, 0.25, -3.0], [float("inf"), 1.0]])
+def test_amounts_that_are_no_whole_cents_are_summed_plainly(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    found, plain = rows.agg(exact_sum(F.col("v")), F.sum("v")).first()
+    assert repr(found) == repr(plain)
+
+
+def test_one_group_does_not_decide_for_another(spark):
+    rows = spark.createDataFrame([("a", 0.1)] * 10 + [("b", 0.001)] * 3 + [("c", None)], "k string, v double")
+    found = dict(tuple(r) for r in rows.groupBy("k").agg(exact_sum(F.col("v"))).collect())
+    assert found == {"a": 1.0, "b": pytest.approx(0.003), "c": None}

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from armspan.operators import runstats
+from armspan.operators import cost, runstats
 from armspan.operators import transactions as tx
 from armspan.plans import bindings, profiling
 from armspan.sinks.tables import write_new_document
@@ -66,6 +66,7 @@ def test_table_io(spark, tmp_path):
     assert rows.count() == 2048
     found = profiling.table_io_profile(rows, str(tmp_path / "io")).collect()
     assert [r["operation"] for r in found] == ["write", "sequential_read"]
+    assert [r["result_rows"] for r in found] == [2048, 2048]
     assert all(r["duration_seconds"] > 0 and r["error"] is None for r in found)
 
 
@@ -83,3 +84,22 @@ def test_drained_sort_keeps_its_sort(spark, small_dir):
 def test_preview_comes_after_the_clock(spark, preview, capfd):
     operation = profiling.Operation("all", "", lambda df: df)
     assert profiling.profile_operation(operation, spark.range(5), preview)["result_rows"] == 5
+
+
+def test_runs_cost_what_their_execution_took(spark):
+    attempts = [
+        {"run": 1, "timings": {"benchmark_execution": 940.267, "total_time": 940.664}},
+        {"run": 2, "timings": {"cluster_provisioning": 1800.0, "benchmark_execution": 1800.0, "total_time": 9000.0}},
+        {"run": 3, "timings": {"total_time": 5.0}},
+    ]
+    attempts = [{**a, "timestamp": "2025-11-05T11:27:03", "errors": []} for a in attempts]
+    rows = profiling.attempt_rows(spark, attempts, "aws")
+    records = profiling.run_records(rows, cost.rate_table(spark), "pyspark", "large", 5.0)
+    found = [r["costs"] for r in records.orderBy("experiment_id").collect()]
+    assert found[0]["master_ec2"] == pytest.approx(0.0261185, abs=1e-7)
+    assert found[1]["master_ec2"] == pytest.approx(0.1) and found[2] == {}
+
+
+def test_synthetic_rows_do_not_compress(spark, tmp_path):
+    profiling.synthetic_rows(spark, 2).write.parquet(str(tmp_path / "io"))
+    assert profiling._bytes_under(spark, str(tmp_path / "io")) > 1024 * 1024

@@ -7,16 +7,8 @@ import __spark_entry__ as contract
 from armspan.plans.catalog import QUERIES
 from armspan.plans.oracles import ORACLES
 
-# Results that hold times, trained weights or a sample drawn by partition.
-ROWS_ONLY = {
-    "sample_fraction_bernoulli",
-    "mlp_predict",
-    "ml_result_record",
-    "profile_operation",
-    "profile_suite",
-    "profile_repeated",
-    "table_io_profile",
-}
+# A sample drawn by partition.
+ROWS_ONLY = {"sample_fraction_bernoulli"}
 
 
 @pytest.fixture(scope="module")

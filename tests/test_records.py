@@ -85,7 +85,7 @@ def test_compare_results(spark, root, tmp_path):
     assert len(rows) == 6
     assert rows["ML", comparison.TIME_METRIC]["difference_pct"] == 100.0
     assert rows["PySpark Sample", comparison.TIME_METRIC]["base_mean"] == 11.5
-    assert result.storage.first()["base_n"] == 2
+    assert result.storage.first()["base_duration_n"] == 2
     assert result.training.filter("metric = 'accuracy'").first()["difference_pct"] == 0.0
     assert result.timings.count() == 6 and result.costs.count() == 18
     results.write_comparison(result, str(tmp_path / "out"))
@@ -134,8 +134,39 @@ def test_skipping_does_not_depend_on_the_selection(spark, tmp_path):
     good = json.dumps({"provider": "aws", "timings": {"t": 1.0}})
     wrong = json.dumps({"provider": "aws", "timings": {"t": "soon"}})
     (tmp_path / "runs.json").write_text(f"{good}\n{wrong}\n{{broken\n")
-    rows = records.read_run_records(spark, str(tmp_path), documents=False)
+    rows = records.read_run_records(spark, str(tmp_path), documents=False, skip_broken=True)
     assert rows.count() == len(rows.collect()) == rows.select("provider").count() == 1
+    rejected = records.rejected_records(spark, str(tmp_path), documents=False)
+    assert sorted(r["text"] for r in rejected.collect()) == [wrong, "{broken"]
+
+
+@pytest.mark.parametrize("read", [records.read_run_records, records.read_storage_records])
+@pytest.mark.parametrize("text", ['{"provider": "aws", "summ', '{"provider": "aws", "summary": "soon"}'])
+def test_a_record_that_does_not_fit_fails(spark, tmp_path, read, text):
+    (tmp_path / "one.json").write_text(text)
+    with pytest.raises(Exception):
+        read(spark, str(tmp_path)).collect()
+    assert read(spark, str(tmp_path), skip_broken=True).count() == 0
+
+
+def test_a_field_that_nobody_reads_is_no_reason_to_fail(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"provider": "aws", "timings": {"t": "soon"}}))
+    assert records.read_run_records(spark, str(tmp_path)).select("provider").first()["provider"] == "aws"
+
+
+def test_runs_with_other_names_stay_apart(spark):
+    names = ["etl2_aws_run01_20251105_112703", "nightly-7", "ml_aws_run01_20251105_112703"]
+    runs = spark.createDataFrame(
+        [(name, "aws") for name in names],
+        "experiment_id string, provider string",
+    )
+    for name, kind in (("timings", "map<string,double>"), ("costs", "map<string,double>"), ("errors", "array<string>")):
+        runs = runs.withColumn(name, F.lit(None).cast(kind))
+    runs = runs.withColumn(
+        "summary", F.lit(None).cast("struct<total_time_seconds:double,total_cost_usd:double>")
+    )
+    found = {r["experiment_id"]: r["benchmark"] for r in results.label_runs(runs).collect()}
+    assert found == {names[0]: names[0], names[1]: names[1], names[2]: "ml"}
 
 
 CSV = """CUST_ID,START_DATE,END_DATE,TRANS_ID,DATE,YEAR,MONTH,DAY,EXP_TYPE,AMOUNT
@@ -170,6 +201,17 @@ def test_csv_with_another_header_fails(spark, csv_path, tmp_path):
     assert rows.groupBy("EXP_TYPE").agg(F.sum("AMOUNT")).count() == 2
 
 
+@pytest.mark.parametrize("row", ["C3,2018-01-01,,T3,2018-02-05,2018,2,5,Housing,oops", "C3,2018-01-01,,T3"])
+def test_a_malformed_csv_row_fails(spark, tmp_path, row):
+    path = tmp_path / "bad.csv"
+    path.write_text(CSV + row + "\n")
+    with pytest.raises(Exception):
+        tx_source.read_transactions(spark, str(path)).agg(F.sum("AMOUNT")).collect()
+    kept = tx_source.read_transactions(spark, str(path), skip_malformed=True)
+    assert kept.count() == kept.select("CUST_ID").count() == 2
+    assert [r["text"] for r in tx_source.rejected_transactions(spark, str(path)).collect()] == [row]
+
+
 def test_compare_job_on_documents(spark, root, tmp_path):
     compare_job.run(spark, root, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "training")).count() == 2

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from armspan.functions.identity import hash_below
 from armspan.operators import sampling
 from armspan.operators import transactions as tx
 from armspan.plans import bindings
@@ -89,3 +90,19 @@ def test_row_sample_is_repeatable(spark):
     ids = spark.range(2000)
     first = [r["id"] for r in sampling.sample_rows(ids, 0.5).collect()]
     assert first == [r["id"] for r in sampling.sample_rows(ids, 0.5).collect()]
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.5, 0.8])
+def test_rows_without_a_key_are_sampled_like_others(spark, fraction):
+    rows = spark.range(1000).select(F.lit(None).cast("string").alias("key"), "id")
+    few = {r["id"] for r in sampling.sample_by_hash(rows.repartition(2), "key", fraction).collect()}
+    many = {r["id"] for r in sampling.sample_by_hash(rows.repartition(9), "key", fraction).collect()}
+    assert few == many and abs(len(few) - 1000 * fraction) < 60
+    named = {r["id"] for r in sampling.sample_by_hash(rows, "key", fraction, instead=["id"]).collect()}
+    assert named == few
+
+
+def test_a_null_key_alone_decides_nothing(spark):
+    rows = spark.createDataFrame([(None,), ("a",)], "key string")
+    with pytest.raises(Exception, match="a null key decides no sample"):
+        rows.filter(hash_below(F.col("key"), 0.5, 42)).collect()
