@@ -26,19 +26,23 @@ def run(
     base: str = ARMS[0],
     candidate: str = ARMS[1],
     lines: bool = False,
+    fill_missing: bool = False,
+    sections: bool = False,
+    skip_broken: bool = False,
 ) -> None:
     """Compares a folder of result documents or, with ``lines``, runs stored as JSON lines."""
     if lines:
-        runs = label_runs(read_run_records(spark, results_path, documents=False))
+        stored = read_run_records(spark, results_path, documents=False, skip_broken=skip_broken)
+        runs = label_runs(stored, sorted({*ARMS, base, candidate}))
     else:
-        runs = read_benchmarks(spark, results_path)
+        runs = read_benchmarks(spark, results_path, skip_broken=skip_broken)
     # Several tables come from the runs, and parsing JSON is the costly part.
     with kept(runs):
         if lines:
-            result = compare_runs(runs, base, candidate)
+            result = compare_runs(runs, base, candidate, fill_missing)
         else:
-            result = compare_results(spark, results_path, base, candidate, runs)
-        write_comparison(result, output_path, base, candidate)
+            result = compare_results(spark, results_path, base, candidate, runs, fill_missing, skip_broken)
+        write_comparison(result, output_path, base, candidate, sections)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -48,12 +52,25 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--base", default=ARMS[0])
     parser.add_argument("--candidate", default=ARMS[1])
     parser.add_argument("--lines", action="store_true", help="the paths hold JSON lines of the repeat job")
+    parser.add_argument("--zero-filled", action="store_true", help="a run without a total time counts as 0")
+    parser.add_argument("--sections", action="store_true", help="state runs, total time and notes in the report")
+    parser.add_argument("--skip-broken", action="store_true", help="leave out records that do not fit")
     args = parser.parse_args(argv)
     if not args.lines and len(args.results_path) > 1:
         parser.error("result documents lie under one folder")
     spark = SparkSession.builder.appName("compare-arms").getOrCreate()
     paths = args.results_path if args.lines else args.results_path[0]
-    run(spark, paths, args.output_path, args.base, args.candidate, args.lines)
+    run(
+        spark,
+        paths,
+        args.output_path,
+        args.base,
+        args.candidate,
+        args.lines,
+        args.zero_filled,
+        args.sections,
+        args.skip_broken,
+    )
 
 
 if __name__ == "__main__":

@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from armspan.functions.identity import ARMS
 from armspan.operators import cost, runstats
 from armspan.plans import profiling
+from armspan.session import require_new
 from armspan.sinks.tables import write_aggregates, write_run_records
 from armspan.sources.transactions import MODE_SIZES_GB, mode_registry, read_mode
 
@@ -24,8 +25,13 @@ def run(
     mode: str = "sample",
     repeats: int = 3,
     sample_key: str | None = None,
+    rates: DataFrame | None = None,
 ) -> None:
-    """Stores one record per attempt, failed ones too, and the statistics over them."""
+    """Stores one record per attempt, failed ones too, and the statistics over them.
+
+    ``rates`` prices the arm, by default the known shapes and prices.
+    """
+    require_new(spark, f"{output_path}/runs")
     registry = mode_registry({mode: data_path})
     attempts = profiling.profile_repeated(
         lambda number: profiling.profile_suite(
@@ -34,7 +40,7 @@ def run(
         repeats,
     )
     rows = profiling.attempt_rows(spark, attempts, arm)
-    records = profiling.run_records(rows, cost.rate_table(spark), KIND, mode, MODE_SIZES_GB[mode])
+    records = profiling.run_records(rows, cost.rate_table(spark) if rates is None else rates, KIND, mode, MODE_SIZES_GB[mode])
     write_run_records(records, f"{output_path}/runs")
     write_aggregates(runstats.timing_key_stats(records, ["provider"]), f"{output_path}/timings")
     write_aggregates(runstats.cost_key_stats(records, ["provider"]), f"{output_path}/costs")
@@ -45,12 +51,23 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--data-path", required=True)
     parser.add_argument("--output-path", required=True)
-    parser.add_argument("--arm", choices=ARMS, default=ARMS[0])
+    parser.add_argument("--arm", default=ARMS[0], help="a known arm, or any name with the prices below")
+    parser.add_argument("--workers", type=int, default=2)
+    parser.add_argument("--machine-price", type=float, help="USD per machine and hour")
+    parser.add_argument("--node-fee", type=float, default=0.0, help="USD per machine and hour on top")
+    parser.add_argument("--storage-price", type=float, default=0.0, help="USD per GB and month")
     parser.add_argument("--dataset-mode", choices=["sample", "large", "full"], default="sample")
     parser.add_argument("--repeats", type=int, default=3)
     parser.add_argument("--sample-key")
     args = parser.parse_args(argv)
+    if args.machine_price is None and args.arm not in ARMS:
+        parser.error(f"name the machine price of {args.arm}")
     spark = SparkSession.builder.appName(f"transactions-repeat-{args.arm}").getOrCreate()
+    rates = None
+    if args.machine_price is not None:
+        shape = cost.ClusterShape(args.arm, "machine", "machine", args.workers, "fee", False, 1, "storage")
+        listed = {"machine": args.machine_price, "fee": args.node_fee, "storage": args.storage_price}
+        rates = cost.rate_table(spark, [shape], [(args.arm, item, price) for item, price in listed.items()])
     run(
         spark,
         args.data_path,
@@ -59,6 +76,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.dataset_mode,
         args.repeats,
         args.sample_key,
+        rates,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -38,11 +38,14 @@ def _run_columns() -> list[Column | str]:
 
 
 def read_benchmarks(
-    spark: SparkSession, root: str, files: Mapping[str, tuple[str, str]] = RUN_FILES
+    spark: SparkSession,
+    root: str,
+    files: Mapping[str, tuple[str, str]] = RUN_FILES,
+    skip_broken: bool = False,
 ) -> DataFrame:
     """Run records of all benchmarks, with the columns that the comparison reads."""
     parts = [
-        records.read_run_records(spark, f"{root}/{folder}", glob).select(
+        records.read_run_records(spark, f"{root}/{folder}", glob, skip_broken=skip_broken).select(
             "experiment_id",
             "provider",
             F.lit(name).alias("benchmark"),
@@ -64,12 +67,12 @@ def read_training(
     return reduce(DataFrame.unionByName, parts)
 
 
-def label_runs(runs: DataFrame) -> DataFrame:
+def label_runs(runs: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
     """Run records with the benchmark that their names state: kind and mode.
 
     A run whose name states no kind is a benchmark of its own, under its whole name.
     """
-    parsed = parse_run_name(F.col("experiment_id"), F.col("provider"))
+    parsed = parse_run_name(F.col("experiment_id"), F.col("provider"), arms)
     named = runs.withColumn("_name", parsed)
     return named.select(
         "experiment_id",
@@ -99,7 +102,26 @@ class ResultComparison(RunComparison):
     training: DataFrame
 
 
-def compare_runs(runs: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1]) -> RunComparison:
+def zero_filled(runs: DataFrame) -> DataFrame:
+    """Runs whose totals come from their timing and cost maps, where a lacking time is 0.
+
+    A run without the map has no total. The totals in run summaries, which comparisons
+    take otherwise, are null where a run recorded none and then stay out of the means.
+    """
+    recorded = F.coalesce(F.try_element_at("timings", F.lit("total_time")), F.lit(0.0))
+    return runs.withColumns(
+        {
+            "total_time": F.when(F.col("timings").isNotNull(), recorded),
+            "total_cost": runstats.total_recorded(F.col("costs")),
+        }
+    )
+
+
+def compare_runs(
+    runs: DataFrame, base: str = ARMS[0], candidate: str = ARMS[1], fill_missing: bool = False
+) -> RunComparison:
+    """All tables over the runs; ``fill_missing`` compares the totals of ``zero_filled``."""
+    runs = zero_filled(runs) if fill_missing else runs
     by = ["benchmark", "provider"]
     values = {"time": F.col("total_time"), "cost": F.col("total_cost")}
     return RunComparison(
@@ -116,13 +138,15 @@ def compare_results(
     base: str = ARMS[0],
     candidate: str = ARMS[1],
     runs: DataFrame | None = None,
+    fill_missing: bool = False,
+    skip_broken: bool = False,
 ) -> ResultComparison:
     """Compares the result files under ``root``; ``runs`` are its run records if already read."""
-    runs = read_benchmarks(spark, root) if runs is None else runs
-    tables = compare_runs(runs, base, candidate)
+    runs = read_benchmarks(spark, root, skip_broken=skip_broken) if runs is None else runs
+    tables = compare_runs(runs, base, candidate, fill_missing)
     folder, glob = STORAGE_FILES
     operations = records.storage_operations(
-        records.read_storage_records(spark, f"{root}/{folder}", glob), "provider"
+        records.read_storage_records(spark, f"{root}/{folder}", glob, skip_broken=skip_broken), "provider"
     )
     return ResultComparison(
         **{field.name: getattr(tables, field.name) for field in fields(tables)},
@@ -132,11 +156,15 @@ def compare_results(
 
 
 def write_comparison(
-    result: RunComparison, out: str, base: str = ARMS[0], candidate: str = ARMS[1]
+    result: RunComparison, out: str, base: str = ARMS[0], candidate: str = ARMS[1], sections: bool = False
 ) -> None:
-    """Every table of the comparison under ``out``: report, CSV and JSON."""
+    """Every table of the comparison under ``out``: report, CSV and JSON.
+
+    With ``sections`` the report also states the runs, their total time and notes.
+    """
+    runs = result.by_arm if sections else None
     with kept(result.rows) as rows:
-        sinks.write_report(rows, f"{out}/report", base, candidate, list(RUN_FILES))
+        sinks.write_report(rows, f"{out}/report", base, candidate, list(RUN_FILES), runs)
         sinks.write_comparison_csv(rows, f"{out}/comparison_csv", base, candidate)
     for field in fields(result):
         if field.name != "rows":

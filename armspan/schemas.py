@@ -21,6 +21,8 @@ TRANSACTIONS = T.StructType(
 )
 
 _METRIC_MAP = T.MapType(T.StringType(), T.DoubleType())
+# Values of any JSON type, nested ones as their text.
+_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
 _ERROR = T.StructType(
     [
@@ -45,8 +47,17 @@ RUN_RECORD = T.StructType(
                 [
                     T.StructField("benchmark_type", T.StringType()),
                     T.StructField("dataset_mode", T.StringType()),
-                    T.StructField("cluster_config", T.MapType(T.StringType(), T.StringType())),
+                    T.StructField("cluster_config", _TEXT_MAP),
                     T.StructField("reused_cluster", T.BooleanType()),
+                    T.StructField("using_existing_cluster", T.BooleanType()),
+                    T.StructField("cluster_id", T.StringType()),
+                    T.StructField("cluster_name", T.StringType()),
+                    T.StructField("step_id", T.StringType()),
+                    T.StructField("job_id", T.StringType()),
+                    T.StructField("script_s3_uri", T.StringType()),
+                    T.StructField("script_gcs_uri", T.StringType()),
+                    T.StructField("ml_config", _TEXT_MAP),
+                    T.StructField("test_summary", _TEXT_MAP),
                 ]
             ),
         ),

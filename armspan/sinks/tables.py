@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,10 +102,13 @@ def report_table(
     base: str = ARMS[0],
     candidate: str = ARMS[1],
     benchmarks: Sequence[str] = (),
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """The report as lines to sort by ``REPORT_ORDER``: table header, rows, tally of wins.
 
-    Listed ``benchmarks`` come first and in that order; time precedes cost.
+    Listed ``benchmarks`` come first and in that order; time precedes cost. With the
+    statistics per benchmark and arm in ``runs`` it opens with the number of runs and
+    their total time, and ends with notes.
     """
     names = (base.upper(), candidate.upper())
     heads = ["Benchmark", "Metric", *[f"{n} (Mean ± Std)" for n in names], "Difference", "Winner"]
@@ -138,7 +142,40 @@ def report_table(
                 F.lit(section).alias("section"), "position", blank.alias("benchmark"), blank.alias("metric"), "line"
             )
         )
-    return body
+    return body if runs is None else body.unionByName(_report_frame(runs, names))
+
+
+def _report_frame(runs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The lines before and after the table: runs, their hours, notes."""
+    spark, blank = runs.sparkSession, F.lit("")
+
+    def block(section: int, *lines: Column) -> DataFrame:
+        rows = spark.range(1).select(F.array(*lines).alias("lines"))
+        return rows.select(F.lit(section).alias("section"), F.posexplode("lines").alias("position", "line"))
+
+    hours = runs.agg(F.sum(F.col("time_n") * F.col("time_mean")) / 3600.0).toDF("hours")
+    duration = F.concat(F.lit("**Total Benchmark Duration:** "), fixed_text(F.col("hours"), 2), F.lit(" hours"))
+    total = hours.select(F.array(blank, duration, blank, F.lit("## Performance Comparison"), blank).alias("lines"))
+    count = F.concat_ws(" ", F.lit("-"), "benchmark", F.concat(F.upper("provider"), F.lit(" runs:")), "time_n")
+    parts = [
+        block(-4, F.lit(f"# {names[0]} vs {names[1]} Comparison"), blank, F.lit("## Benchmark Configuration"), blank),
+        runs.select(F.lit(-3).alias("section"), F.lit(0).alias("position"), "benchmark", count.alias("line")),
+        total.select(F.lit(-2).alias("section"), F.posexplode("lines").alias("position", "line")),
+        block(
+            3,
+            blank,
+            F.lit("## Notes"),
+            blank,
+            F.lit(f"- A positive difference means that {names[1]} took longer or cost more than {names[0]}."),
+            F.lit("- The lower mean wins, for time as for cost."),
+            F.lit("- Means and deviations are taken over the runs of each arm."),
+        ),
+    ]
+    framed = [
+        part.select("section", "position", F.col("benchmark") if "benchmark" in part.columns else blank.alias("benchmark"), blank.alias("metric"), "line")
+        for part in parts
+    ]
+    return reduce(DataFrame.unionByName, framed)
 
 
 def write_report(
@@ -147,6 +184,7 @@ def write_report(
     base: str = ARMS[0],
     candidate: str = ARMS[1],
     benchmarks: Sequence[str] = (),
+    runs: DataFrame | None = None,
 ) -> str | None:
     """The comparison as markdown text; without rows nothing is written.
 
@@ -155,6 +193,6 @@ def write_report(
     with kept(rows):
         if rows.isEmpty():
             return None
-        lines = report_table(rows, base, candidate, benchmarks)
+        lines = report_table(rows, base, candidate, benchmarks, runs)
         lines.orderBy(*REPORT_ORDER).select("line").write.text(path)
     return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +22,21 @@ def _reader(
         .option("mode", mode)
         .option("multiLine", documents)
         .option("timeZone", "UTC")
-        .option("recursiveFileLookup", True)
+        .option("recursiveFileLookup", documents)
     )
     return reader if name_glob is None else reader.option("pathGlobFilter", name_glob)
 
 
 def _load(reader: DataFrameReader, path: str | Sequence[str]) -> DataFrame:
-    rows = reader.json(path if isinstance(path, str) else list(path))
-    return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
+    """All records under the paths.
+
+    Each path is read on its own, as its folders tell its partition columns (``arm``).
+    """
+    parts = [
+        reader.json(one).select("*", F.col("_metadata.file_path").alias("source_file"))
+        for one in ([path] if isinstance(path, str) else path)
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _judged(
@@ -58,8 +66,9 @@ def _read_json(
     another type that the query selects; fields it does not select are not parsed. With
     ``skip_broken`` the records that do not fit the schema are left out instead, the same
     ones whatever a query selects; ``rejected_records`` returns them. ``documents`` reads
-    files that hold one pretty-printed object each; otherwise every line is a record, and
-    large files split over tasks.
+    files that hold one pretty-printed object each, in folders of any depth; otherwise
+    every line is a record, large files split over tasks, and folders such as ``arm=x``
+    give a column by which whole folders are left out.
     """
     if skip_broken:
         rows = _judged(spark, path, schema, name_glob, documents)

@@ -6,6 +6,7 @@ from armspan import session
 from armspan.jobs import compare_job, ml_job, repeat_job, transactions_job
 from armspan.plans import bindings
 from armspan.functions.pixels import flatten_to_columns
+from armspan.operators import cost
 from armspan.operators.sampling import split_by_hash
 from armspan.sinks.tables import write_split
 
@@ -38,6 +39,23 @@ def test_two_arms_from_runs_to_report(spark, small_dir, tmp_path):
     assert {"master_ec2", "master_vm", "total_compute", "storage", "total"} <= keys
 
 
+def test_an_arm_of_any_name(spark, small_dir, tmp_path):
+    data = str(tmp_path / "csv")
+    bindings.transactions(spark, small_dir).write.option("header", True).csv(data)
+    shape = cost.ClusterShape("lab", "machine", "machine", 3, "fee", False, 1, "storage")
+    prices = [("lab", item, price) for item, price in (("machine", 1.0), ("fee", 0.0), ("storage", 0.0))]
+    rates = cost.rate_table(spark, [shape], prices)
+    repeat_job.run(spark, data, str(tmp_path / "lab"), "lab", repeats=1, rates=rates)
+    repeat_job.run(spark, data, str(tmp_path / "aws"), "aws", repeats=1)
+    compare_job.run(
+        spark, [str(tmp_path / arm / "runs") for arm in ("aws", "lab")], str(tmp_path / "out"), "aws", "lab", lines=True
+    )
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out" / "comparison_csv")).collect()
+    assert {r["benchmark"] for r in rows} == {"pyspark sample"} and len(rows) == 2
+    with pytest.raises(FileExistsError):
+        repeat_job.run(spark, data, str(tmp_path / "lab"), "lab", repeats=1, rates=rates)
+
+
 def test_ml_job(spark, small_dir, tmp_path):
     wide = flatten_to_columns(bindings.images(spark, small_dir), "image", 64, "vec_id", "label")
     write_split(*split_by_hash(wide, "vec_id", 0.8), str(tmp_path / "data"))

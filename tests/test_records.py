@@ -19,7 +19,13 @@ def _run(arm, number, seconds, kind="pyspark", mode="sample"):
         "timestamp": "2025-11-05T16:27:03.794496",
         "timings": {"total_time": seconds},
         "costs": {"master_vm": seconds / 100, "total_compute": seconds / 100},
-        "metadata": {"dataset_mode": mode, "cluster_config": {"core_instance_count": 2}},
+        "metadata": {
+            "dataset_mode": mode,
+            "cluster_config": {"core_instance_count": 2},
+            "cluster_id": "c-1",
+            "step_id": "s-1",
+            "ml_config": {"epochs": 5, "split": [0.8, 0.2]},
+        },
         "errors": [],
         "summary": {"total_time_seconds": seconds, "total_cost_usd": seconds / 50, "success": True},
     }
@@ -62,6 +68,9 @@ def test_run_documents(spark, root):
     row = min(rows, key=lambda r: r["timings"]["total_time"])
     assert row["costs"] == {"master_vm": 0.11, "total_compute": 0.11}
     assert row["metadata"]["cluster_config"] == {"core_instance_count": "2"}
+    assert (row["metadata"]["cluster_id"], row["metadata"]["step_id"]) == ("c-1", "s-1")
+    ml_config = row["metadata"]["ml_config"]
+    assert ml_config["epochs"] == "5" and json.loads(ml_config["split"]) == [0.8, 0.2]
     assert row["timestamp"] == datetime.datetime(2025, 11, 5, 16, 27, 3, 794496)
     assert row["source_file"].endswith("_112703.json")
 
@@ -125,8 +134,13 @@ def test_run_records_are_kept_by_arm(spark, root, tmp_path):
     assert {p.name for p in (tmp_path / "runs").iterdir() if p.is_dir()} == {"arm=aws", "arm=gcp"}
     again = records.read_run_records(spark, str(tmp_path / "runs"), documents=False)
     assert again.count() == 4
+    one_arm = again.filter("arm = 'gcp'")
+    plan = one_arm._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(arm" in plan and {r["provider"] for r in one_arm.collect()} == {"gcp"}
+    both = records.read_run_records(spark, [str(tmp_path / "runs")] * 2, documents=False)
+    assert both.count() == 8
     ordered = ["provider", "experiment_id"]
-    stored = [tuple(r) for r in again.drop("source_file").orderBy(*ordered).collect()]
+    stored = [tuple(r) for r in again.drop("source_file", "arm").orderBy(*ordered).collect()]
     assert stored == [tuple(r) for r in runs.orderBy(*ordered).collect()]
 
 
@@ -232,3 +246,24 @@ def test_feature_split(spark, tmp_path):
     sinks.write_split(rows.filter("id < 7"), rows.filter("id >= 7"), str(tmp_path / "f"))
     counts = features.split_counts(*features.read_split(spark, str(tmp_path / "f")))
     assert {r["split"]: r["row_count"] for r in counts.collect()} == {"train": 7, "test": 3}
+
+
+def test_report_with_sections(spark, root, tmp_path):
+    compare_job.run(spark, root, str(tmp_path / "out"), sections=True)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "report")).collect()]
+    assert lines[:4] == ["# AWS vs GCP Comparison", "", "## Benchmark Configuration", ""]
+    assert "- ML AWS runs: 2" in lines and "**Total Benchmark Duration:** 0.20 hours" in lines
+    assert lines.index("## Performance Comparison") < lines.index("## Summary") < lines.index("## Notes")
+
+
+def test_missing_totals_count_as_zero_on_demand(spark):
+    schema = (
+        "provider string, benchmark string, timings map<string,double>, costs map<string,double>, "
+        "total_time double, total_cost double"
+    )
+    rows = [("aws", "ml", {"total_time": 4.0}, {"a": 1.0, "b": 2.0}, 9.0, None), ("aws", "ml", {}, None, None, 1.0)]
+    runs = spark.createDataFrame(rows + [("gcp", *rows[0][1:])], schema)
+    filled = results.compare_runs(runs, fill_missing=True).by_arm.filter("provider = 'aws'").first()
+    assert (filled["time_n"], filled["time_mean"], filled["cost_n"], filled["cost_mean"]) == (2, 2.0, 1, 3.0)
+    plain = results.compare_runs(runs).by_arm.filter("provider = 'aws'").first()
+    assert (plain["time_n"], plain["time_mean"], plain["cost_n"], plain["cost_mean"]) == (1, 9.0, 1, 1.0)
