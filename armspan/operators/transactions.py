@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from armspan.functions.rounding import exact_sum
 
-# A key with fewer rows than this fits one reduce task and needs no special care.
-HOT_KEY_ROWS = 2_000_000
-# Bound on the totals that are broadcast, some ten megabytes. A key beyond it has fewer
-# rows than each of those, so it holds less than 1/100,000 of all rows.
-HOT_KEY_LIMIT = 100_000
-
 
 def filter_category(facts: DataFrame, values: Sequence[str], category: str = "EXP_TYPE") -> DataFrame:
     """Rows whose category is one of ``values``; a null category is dropped."""
@@ -94,26 +88,18 @@ def preview(facts: DataFrame, n: int = 5, amount: str = "AMOUNT", tie: str = "TR
 
 
 def join_customer_summary(
-    facts: DataFrame,
-    key: str = "CUST_ID",
-    amount: str = "AMOUNT",
-    digits: int | None = 2,
-    hot_rows: int = HOT_KEY_ROWS,
-    hot_limit: int = HOT_KEY_LIMIT,
+    facts: DataFrame, key: str = "CUST_ID", amount: str = "AMOUNT", digits: int | None = 2
 ) -> DataFrame:
     """Every row with the totals of its customer; rows without a customer are dropped.
 
-    Rows of hot keys meet the totals through a broadcast of at most ``hot_limit``
-    totals and never enter the shuffle, where one key would be one task. Adaptive
-    execution cannot split such a key here, because the totals come from an
-    aggregate. All other rows take an ordinary join. Without hot keys the broadcast is
-    empty and adaptive execution drops that branch.
-
-    Count and key alone fix which keys are hot. The order names the other totals too, so
-    that all uses of the summary need the same columns and share one aggregation.
+    The join is on the key as a struct. It is the same condition, but the aggregate below is
+    partitioned by the plain key, so both sides get exchanges of their own, and adaptive
+    execution can split a partition that a frequent key makes too large, by its bytes, into as
+    many tasks as it takes. With an aggregate right below the join it could not.
     """
+    named = facts.filter(F.col(key).isNotNull())
     summary = _summarise(
-        facts.filter(F.col(key).isNotNull()),
+        named,
         [key],
         amount,
         "total_spent",
@@ -121,11 +107,7 @@ def join_customer_summary(
         "avg_transaction_amount",
         digits,
     )
-    hot = F.broadcast(
-        summary.filter(F.col("total_transactions") > hot_rows)
-        .orderBy(F.desc("total_transactions"), key, "total_spent", "avg_transaction_amount")
-        .limit(hot_limit)
-    )
-    frequent = facts.join(hot, key, "inner")
-    others = facts.join(hot.select(key), key, "left_anti").join(summary, key, "inner")
-    return frequent.unionByName(others)
+    totals = summary.select(F.struct(key).alias("_key"), *summary.columns[1:])
+    joined = named.join(totals, F.struct(named[key]) == totals["_key"])
+    others = [named[column] for column in named.columns if column.lower() != key.lower()]
+    return joined.select(named[key], *others, *summary.columns[1:])

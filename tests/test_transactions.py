@@ -53,21 +53,35 @@ def test_join_drops_null_keys(facts):
     assert found == {"T1": (500.5, 2), "T2": (500.5, 2), "T3": (5.25, 1), "T5": (None, 1)}
 
 
-def _skewed(spark):
-    """A third of the rows has one key; some keys have as many rows as the limit's last."""
-    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50)
-    return spark.range(3000).select(
-        key.alias("CUST_ID"), F.col("id").alias("TRANS_ID"), (F.col("id") % 997 / 4).alias("AMOUNT")
-    )
-
-
-@pytest.mark.parametrize("hot_rows, hot_limit", [(10**9, 1000), (100, 1000), (1, 5), (1, 1000)])
-def test_join_gives_the_same_rows_with_hot_keys(spark, hot_rows, hot_limit):
-    facts = _skewed(spark)
+@pytest.fixture
+def small_partitions(spark):
+    """Sizes at which adaptive execution splits, scaled down to the tables and partitions of the tests."""
+    sizes = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50000",
+    }
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name in sizes:
+        spark.conf.unset(name)
+
+
+def test_join_splits_a_frequent_key(small_partitions):
+    """A third of the rows has one key: its partition is split by its bytes."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000)
+    rows = small_partitions.range(0, 90_000, 1, 8)
+    facts = rows.select(key.alias("CUST_ID"), F.col("id").alias("TRANS_ID"), (F.col("id") % 997 / 4).alias("AMOUNT"))
     totals = {r["CUST_ID"]: tuple(r)[1:] for r in tx.agg_by_customer(facts).collect()}
-    joined = tx.join_customer_summary(facts, hot_rows=hot_rows, hot_limit=hot_limit).collect()
-    assert sorted(r["TRANS_ID"] for r in joined) == list(range(3000))
-    assert all(tuple(r)[3:] == totals[r["CUST_ID"]] for r in joined)
+    joined = tx.join_customer_summary(facts)
+    assert joined.columns[:3] == facts.columns
+    found = joined.collect()
+    assert sorted(r["TRANS_ID"] for r in found) == list(range(90_000))
+    assert all(tuple(r)[3:] == totals[r["CUST_ID"]] for r in found)
+    final = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin(skew=true)" in final
 
 
 def test_hash_sample_ignores_partitioning(spark):
