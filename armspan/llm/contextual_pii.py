@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armspan.llm.common import arrow_map, pick, stored
@@ -27,8 +29,10 @@ _BASE = (
     "base_sha256 string, base string, patterns array<string>, instances array<string>"
 )
 _MET = "h1 bigint, h2 bigint, pattern string, instance string, seed int, n bigint, first bigint, last bigint"
-# Patterns matched in one scan of the texts.
-_PATTERNS_AT_ONCE = 500_000
+# Bits of the filters that texts are screened with: 4 MB each, whatever is found.
+_FILTER_BITS = 25
+# Words and patterns that a task keeps in mind.
+_HELD = 200_000
 _LONGEST = 64
 
 
@@ -114,8 +118,9 @@ def find_personal_data(
     of its instances that are good, plain words counting against it, and an instance that looks
     like an identifier is good if any of its patterns is (noisy or). After ``rounds`` rounds,
     instances of patterns of at least ``confidence`` that are no base spans become spans of kind
-    ``context``. Patterns are matched in blocks of 500,000, one scan each; with no pattern the
-    texts are read once.
+    ``context``. All patterns are searched for in one scan: tasks screen texts with bit filters of
+    a fixed size, and what passes is joined with the patterns, so the driver and the tasks hold
+    the same however many there are. With no pattern the texts are read once.
 
     A null text counts as empty; it has no spans. Equal texts have equal spans. Null and repeated
     ids keep their rows; extra columns are ignored; an empty table gives no rows.
@@ -131,14 +136,12 @@ def find_personal_data(
         seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern"),
         "pii-patterns",
     )
-    met = None
-    for block in _blocks(induced):
-        part = arrow_map(texts.select("text", "h1", "h2"), _matcher(df, block), _MET)
-        met = part if met is None else met.unionByName(part)
     counts = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
-    if met is None:
+    if induced.isEmpty():
         return base.select(*counts, F.col("base").alias("spans"))
-    met = stored(met, "pii-met")
+    filters = [_filter(induced, name) for name in (F.col("pattern"), F.split_part("pattern", F.lit(" "), F.lit(2)))]
+    met = arrow_map(texts.select("text", "h1", "h2"), _matcher(df, *filters), _MET)
+    met = stored(met.join(induced, "pattern"), "pii-met")
     extra = _accepted(met, confidence, rounds)
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(_merged(F.col("base"), F.col("extra")))
     return base.join(extra, ["h1", "h2"], "left").select(*counts, spans.alias("spans"))
@@ -161,44 +164,66 @@ def _based(rows: Iterator[dict]) -> Iterator[tuple]:
         yield row["doc_id"], row["h1"], row["h2"], *counts, digest, base, patterns, instances
 
 
-def _blocks(induced: DataFrame) -> Iterator[frozenset]:
-    held: list[str] = []
-    for row in induced.toLocalIterator():
-        held.append(row["pattern"])
-        if len(held) == _PATTERNS_AT_ONCE:
-            yield frozenset(held)
-            held = []
-    if held:
-        yield frozenset(held)
+def _passes(bits: bytes, text: str) -> bool:
+    """Whether the bit of a text is set in what ``_filter`` made."""
+    place = zlib.crc32(text.encode()) & (8 * len(bits) - 1)
+    return bool(bits[place >> 3] >> (place & 7) & 1)
 
 
-def _matcher(df: DataFrame, block: frozenset):
-    # Bounded by _PATTERNS_AT_ONCE.
-    shared = df.sparkSession.sparkContext.broadcast((block, frozenset(p.split(" ")[1] for p in block)))
+def _filter(induced: DataFrame, name: Column) -> bytes:
+    """A bit filter of ``name``, made in Spark: 64 bits a row, so at most 2**(_FILTER_BITS - 6) rows."""
+    place = F.crc32(name.cast("binary")).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    parts = induced.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
+    )
+    found = np.zeros(1 << (_FILTER_BITS - 6), "<i8")
+    for row in parts.collect():
+        found[row["at"]] = row["bits"]
+    return found.tobytes()
+
+
+def _matcher(df: DataFrame, patterns: bytes, seconds: bytes):
+    # Bounded by _FILTER_BITS.
+    shared = df.sparkSession.sparkContext.broadcast((patterns, seconds))
 
     def each(rows: Iterator[dict]) -> Iterator[tuple]:
         patterns, seconds = shared.value
+        # Words and patterns repeat: what is known of them, and counts, up to a bound.
+        known: dict[str, bool] = {}
         plain: Counter = Counter()
         for row in rows:
             text = row["text"]
+            if len(known) > _HELD:
+                known.clear()
+            if len(plain) > _HELD:
+                yield from _counts(plain)
+                plain.clear()
             # Most texts hold none of the words.
-            if seconds.isdisjoint(map(_bare, set(text.split()))):
+            words = set(text.split())
+            for word in words:
+                if word not in known:
+                    known[word] = _passes(seconds, _bare(word))
+            if not any(map(known.__getitem__, words)):
                 continue
             base = base_spans(text)
             for pattern, instance, start, end in _contexts(text):
-                if pattern not in patterns:
+                if not _passes(patterns, pattern):
                     continue
                 if not _shaped(instance):
                     plain[pattern] += 1
                     continue
                 seed = any(a < end and start < b for a, _, b in base)
                 yield row["h1"], row["h2"], pattern, instance, int(seed), 1, start, end
-        for pattern, n in plain.items():
-            yield None, None, pattern, None, 0, n, None, None
+        yield from _counts(plain)
 
     return each
 
 
+def _counts(plain: Counter) -> Iterator[tuple]:
+    for pattern, n in plain.items():
+        yield None, None, pattern, None, 0, n, None, None
+
+
 def _accepted(met: DataFrame, confidence: float, rounds: int) -> DataFrame:
     """h1, h2 and extra: the spans that confident patterns add to a text."""
     against = met.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("plain"))

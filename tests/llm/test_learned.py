@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from armspan.llm import queries
+from armspan.llm import contextual_pii, queries
 from armspan.llm.contextual_pii import base_spans, find_personal_data
 from armspan.llm.source_schedule import mixed_sizes
 from armspan.llm.string_tiling import leaks, without_leaks
@@ -57,6 +57,17 @@ def test_contexts_find_unseen_identifiers(spark, odd_docs, no_docs):
     assert find_personal_data(odd_docs).count() == 9 and find_personal_data(no_docs).count() == 0
 
 
+def test_results_do_not_depend_on_the_filters(spark, monkeypatch):
+    """Filters only screen: with 64 bits much of the text passes, and the join decides."""
+    rows = [(i, f"text {i % 7} write me at user{i}@mail.example.com or call code-{i} back") for i in range(40)]
+    rows += [(i, f"so write me at handle-{i} or call nobody, pay {i}00 now") for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = sorted(map(tuple, find_personal_data(docs).collect()))
+    assert sum("context:" in r[-1] for r in wanted) == 20
+    monkeypatch.setattr(contextual_pii, "_FILTER_BITS", 6)
+    assert sorted(map(tuple, find_personal_data(docs).collect())) == wanted
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op6_toxic_crf", "toxic", 0.95), ("op8_pu_quality", "quality", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     # The larger tables: a few dozen toxic examples are too few for stems that only some languages have.
