@@ -6,7 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -91,13 +91,27 @@ def _shaped(instance: str) -> bool:
     return 5 <= len(instance) <= _LONGEST and bool(_DIGIT.search(instance))
 
 
-def _contexts(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(pattern, instance, start, end) of tokens after two words; the words are the pattern."""
+class _Known(dict):
+    """Whether words pass, worked out once each while it is held."""
+
+    def __init__(self, test: Callable[[str], bool]):
+        self._test = test
+
+    def __missing__(self, word: str) -> bool:
+        found = self[word] = self._test(word)
+        return found
+
+
+def _contexts(text: str, second: _Known | None = None) -> Iterator[tuple[str, str, int, int]]:
+    """(pattern, instance, start, end) of tokens after two words; the words are the pattern.
+
+    With ``second`` only patterns whose second word passes.
+    """
     before, last = "", ""
     for m in _TOKEN.finditer(text):
         token = m[0]
         bare = _bare(token)
-        if before and last:
+        if before and last and (second is None or second[last]):
             lead = len(token) - len(token.lstrip("\"'([{<=:"))
             yield f"{before} {last}", bare, m.start() + lead, m.start() + lead + len(bare)
         before, last = last, (bare if len(bare) <= _LONGEST else "")
@@ -188,25 +202,23 @@ def _matcher(df: DataFrame, patterns: bytes, seconds: bytes):
 
     def each(rows: Iterator[dict]) -> Iterator[tuple]:
         patterns, seconds = shared.value
-        # Words and patterns repeat: what is known of them, and counts, up to a bound.
-        known: dict[str, bool] = {}
+        # Tokens, words and patterns repeat: what is known of them, and counts, up to a bound.
+        words = _Known(lambda word: _passes(seconds, word))
+        tokens = _Known(lambda token: words[_bare(token)])
         plain: Counter = Counter()
         for row in rows:
             text = row["text"]
-            if len(known) > _HELD:
-                known.clear()
+            if len(tokens) > _HELD or len(words) > _HELD:
+                tokens.clear()
+                words.clear()
             if len(plain) > _HELD:
                 yield from _counts(plain)
                 plain.clear()
-            # Most texts hold none of the words.
-            words = set(text.split())
-            for word in words:
-                if word not in known:
-                    known[word] = _passes(seconds, _bare(word))
-            if not any(map(known.__getitem__, words)):
+            # Many texts hold none of the words.
+            if not any(map(tokens.__getitem__, set(text.split()))):
                 continue
             base = base_spans(text)
-            for pattern, instance, start, end in _contexts(text):
+            for pattern, instance, start, end in _contexts(text, words):
                 if not _passes(patterns, pattern):
                     continue
                 if not _shaped(instance):
