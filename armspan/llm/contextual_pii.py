@@ -91,6 +91,21 @@ def _shaped(instance: str) -> bool:
     return 5 <= len(instance) <= _LONGEST and bool(_DIGIT.search(instance))
 
 
+def _seed(base: list[tuple[int, int, int]], start: int, end: int) -> tuple[int, int, int] | None:
+    """The base span that a token from ``start`` to ``end`` is of, one that starts with it first."""
+    met = [span for span in base if span[0] < end and start < span[2]]
+    return next((span for span in met if span[0] == start), met[0] if met else None)
+
+
+def _whole(text: str, seed: tuple[int, int, int]) -> str:
+    """A base span as an instance: all that its form matched, which may hold spaces."""
+    return _named(text[seed[0] : seed[2]].lower())
+
+
+def _named(word: str) -> str:
+    return word if len(word) <= _LONGEST else hashlib.sha256(word.encode()).hexdigest()
+
+
 class _Known(dict):
     """Whether words pass, worked out once each while it is held."""
 
@@ -132,7 +147,8 @@ def find_personal_data(
     of its instances that are good, plain words counting against it, and an instance that looks
     like an identifier is good if any of its patterns is (noisy or). After ``rounds`` rounds,
     instances of patterns of at least ``confidence`` that are no base spans become spans of kind
-    ``context``. All patterns are searched for in one scan: tasks screen texts with bit filters of
+    ``context``. A seed has the form of its base span, whole; other instances have five to 64
+    characters with a digit, and what has not is a plain word. All patterns are searched for in one scan: tasks screen texts with bit filters of
     a fixed size, and what passes is joined with the patterns, so the driver and the tasks hold
     the same however many there are. With no pattern the texts are read once.
 
@@ -169,11 +185,11 @@ def _based(rows: Iterator[dict]) -> Iterator[tuple]:
         digest = hashlib.sha256(base.encode()).hexdigest()
         patterns, instances = [], []
         if spans:
-            starts = {start for start, _, _ in spans}
-            for pattern, instance, start, _ in _contexts(text):
-                if start in starts:
+            for pattern, _, start, end in _contexts(text):
+                seed = _seed(spans, start, end)
+                if seed and seed[0] == start:
                     patterns.append(pattern)
-                    instances.append(instance)
+                    instances.append(_whole(text, seed))
         counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
         yield row["doc_id"], row["h1"], row["h2"], *counts, digest, base, patterns, instances
 
@@ -221,11 +237,13 @@ def _matcher(df: DataFrame, patterns: bytes, seconds: bytes):
             for pattern, instance, start, end in _contexts(text, words):
                 if not _passes(patterns, pattern):
                     continue
-                if not _shaped(instance):
+                seed = _seed(base, start, end)
+                if seed:
+                    yield row["h1"], row["h2"], pattern, _whole(text, seed), 1, 1, start, end
+                elif _shaped(instance):
+                    yield row["h1"], row["h2"], pattern, instance, 0, 1, start, end
+                else:
                     plain[pattern] += 1
-                    continue
-                seed = any(a < end and start < b for a, _, b in base)
-                yield row["h1"], row["h2"], pattern, instance, int(seed), 1, start, end
         yield from _counts(plain)
 
     return each

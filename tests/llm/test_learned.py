@@ -57,6 +57,24 @@ def test_contexts_find_unseen_identifiers(spark, odd_docs, no_docs):
     assert find_personal_data(odd_docs).count() == 9 and find_personal_data(no_docs).count() == 0
 
 
+def contexts_found(spark, lead, seeds, others):
+    """How many of the texts with a handle after ``lead`` have it as a context span."""
+    rows = [(i, f"hello there, {lead} {seed} soon") for i, seed in enumerate(seeds)] + others
+    rows += [(i, f"so {lead} handle-{i} today") for i in range(90_000, 90_005)]
+    found = find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return sum("context:" in r.spans for r in found if r.doc_id >= 90_000)
+
+
+@pytest.mark.parametrize("form", ["{}anna@mail.org", "+1 555 0{}-44 21", "4111 1111 1111 {}"])
+def test_seeds_of_any_form_count_for_their_pattern(spark, form):
+    """E-mails without a digit, spaced phones and spaced cards."""
+    parts = ["".join(chr(97 + int(c)) for c in str(i)) if "@" in form else str(i) for i in range(100, 2400)]
+    texts = [form.format(part) for part in parts]
+    seeds = [text for text in texts if base_spans(text) and base_spans(text)[0][::2] == (0, len(text))][:30]
+    assert len(seeds) == 30
+    assert contexts_found(spark, "please contact me at", seeds, []) == 5
+
+
 def test_results_do_not_depend_on_the_filters(spark, monkeypatch):
     """Filters only screen: with 64 bits much of the text passes, and the join decides."""
     rows = [(i, f"text {i % 7} write me at user{i}@mail.example.com or call code-{i} back") for i in range(40)]
