@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ _BASE = (
     "doc_id bigint, h1 bigint, h2 bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
     "base_sha256 string, base string, patterns array<string>, instances array<string>"
 )
-_MET = "h1 bigint, h2 bigint, pattern string, instance string, seed int, n bigint, first bigint, last bigint"
+_MET = "h1 bigint, h2 bigint, pattern string, instance string, seed int, first bigint, last bigint"
 # Bits of the filters that texts are screened with: 4 MB each, whatever is found.
 _FILTER_BITS = 25
 # Words and patterns that a task keeps in mind.
@@ -144,7 +143,7 @@ def find_personal_data(
     What the fixed forms find are seeds. The two words before a seed are a pattern; those met
     with at least ``min_seeds`` different seeds are searched for in all texts, and what follows
     them are their instances. Over that graph Spark iterates: a pattern is as good as the share
-    of its instances that are good, plain words counting against it, and an instance that looks
+    of its different instances that are good, different plain words counting against it, and an instance that looks
     like an identifier is good if any of its patterns is (noisy or). After ``rounds`` rounds,
     instances of patterns of at least ``confidence`` that are no base spans become spans of kind
     ``context``. A seed has the form of its base span, whole; other instances have five to 64
@@ -218,17 +217,17 @@ def _matcher(df: DataFrame, patterns: bytes, seconds: bytes):
 
     def each(rows: Iterator[dict]) -> Iterator[tuple]:
         patterns, seconds = shared.value
-        # Tokens, words and patterns repeat: what is known of them, and counts, up to a bound.
+        # Tokens, words and what follows patterns repeat: what is known of them, up to a bound.
         words = _Known(lambda word: _passes(seconds, word))
         tokens = _Known(lambda token: words[_bare(token)])
-        plain: Counter = Counter()
+        plain: set[tuple[str, str]] = set()
         for row in rows:
             text = row["text"]
             if len(tokens) > _HELD or len(words) > _HELD:
                 tokens.clear()
                 words.clear()
             if len(plain) > _HELD:
-                yield from _counts(plain)
+                yield from _plain(plain)
                 plain.clear()
             # Many texts hold none of the words.
             if not any(map(tokens.__getitem__, set(text.split()))):
@@ -239,25 +238,28 @@ def _matcher(df: DataFrame, patterns: bytes, seconds: bytes):
                     continue
                 seed = _seed(base, start, end)
                 if seed:
-                    yield row["h1"], row["h2"], pattern, _whole(text, seed), 1, 1, start, end
+                    yield row["h1"], row["h2"], pattern, _whole(text, seed), 1, start, end
                 elif _shaped(instance):
-                    yield row["h1"], row["h2"], pattern, instance, 0, 1, start, end
+                    yield row["h1"], row["h2"], pattern, instance, 0, start, end
                 else:
-                    plain[pattern] += 1
-        yield from _counts(plain)
+                    plain.add((pattern, _named(instance)))
+        yield from _plain(plain)
 
     return each
 
 
-def _counts(plain: Counter) -> Iterator[tuple]:
-    for pattern, n in plain.items():
-        yield None, None, pattern, None, 0, n, None, None
+def _plain(words: set[tuple[str, str]]) -> Iterator[tuple]:
+    """Rows of plain words after patterns, which have no place."""
+    for pattern, word in words:
+        yield None, None, pattern, word, 0, None, None
 
 
 def _accepted(met: DataFrame, confidence: float, rounds: int) -> DataFrame:
     """h1, h2 and extra: the spans that confident patterns add to a text."""
-    against = met.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("plain"))
-    edges = met.where("instance is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    # Different words, as instances are: copies of a text add nothing.
+    plain = met.where("first is null").select("pattern", "instance").distinct()
+    against = plain.groupBy("pattern").agg(F.count("*").alias("plain"))
+    edges = met.where("first is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # An instance that is a seed somewhere is one everywhere.
     edges = stored(edges, "pii-edges")
     scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
@@ -276,7 +278,7 @@ def _accepted(met: DataFrame, confidence: float, rounds: int) -> DataFrame:
         )
         scores = stored(scores, f"pii-instances-{step}")
     good = patterns.where(F.col("share") >= confidence).select("pattern")
-    added = met.where("instance is not null and seed = 0").join(good, "pattern", "left_semi")
+    added = met.where("first is not null and seed = 0").join(good, "pattern", "left_semi")
     span = F.concat(F.lit("context:"), "first", F.lit(":"), "last")
     # Spans of one text: as many as it has tokens at most.
     return added.groupBy("h1", "h2").agg(F.array_join(F.array_sort(F.collect_set(span)), ",").alias("extra"))

@@ -75,6 +75,14 @@ def test_seeds_of_any_form_count_for_their_pattern(spark, form):
     assert contexts_found(spark, "please contact me at", seeds, []) == 5
 
 
+def test_copies_of_a_plain_text_count_once(spark):
+    seeds = [f"user{i}@mail.example.com" for i in range(20)]
+    copies = [(1000 + i, "please contact me at noon") for i in range(300)]
+    assert contexts_found(spark, "please contact me at", seeds, copies) == 5
+    words = [(1000 + i, f"please contact me at {chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)]
+    assert contexts_found(spark, "please contact me at", seeds, words) == 0
+
+
 def test_results_do_not_depend_on_the_filters(spark, monkeypatch):
     """Filters only screen: with 64 bits much of the text passes, and the join decides."""
     rows = [(i, f"text {i % 7} write me at user{i}@mail.example.com or call code-{i} back") for i in range(40)]
