@@ -123,9 +123,12 @@ class LoneWords(WordEncoder):
         super().__init__(path, value)
         ends = np.array([token.endswith("</w>") for token in self._tokens])
         self.starts = _After(ends)
+        # These match in their own case only: lower-casing must not make one.
+        special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
 
     def words(self, text: str) -> list[str]:
-        if not _NOT_SIMPLE.search(text):
+        if not _NOT_SIMPLE.search(text) and not self._special.search(text):
             text = text.lower()
         return [word for word in _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ") if word]
 

@@ -37,6 +37,15 @@ def test_words_give_the_whole_text(chars):
         assert np.frombuffer(ids, encoder.id_type).tolist() == ids_of(WORDS, text), text
 
 
+@pytest.mark.parametrize("chars", [3, 10_000])
+def test_special_strings_match_in_their_own_case_only(chars):
+    encoder = token_bytes(WORDS)
+    texts = ["<|ENDOFTEXT|>", "a <|StartOfText|> B. C", "X<|EndOfText|>Y. DON'T, It", "<|endoftext|>Ab. <|ENDOFTEXT|>. D,\nE"]
+    for text in texts:
+        ids = b"".join(b for part in parts(text, chars) for b in encoder.values([part])[0])
+        assert np.frombuffer(ids, encoder.id_type).tolist() == ids_of(WORDS, text), text
+
+
 def test_counts(odd_docs, no_docs):
     found = count_tokens(odd_docs, BYTES, part_chars=1000, batch_bytes=5000).collect()
     texts = {(r.doc_id, r.text or "") for r in odd_docs.collect()}
