@@ -9,13 +9,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armspan.llm import pu_quality, toxic_crf
+from armspan.llm import pu_quality, sql, toxic_crf
 from armspan.llm.common import pick
 from armspan.llm.contextual_pii import find_personal_data
 from armspan.llm.histogram_shards import shard_by_bytes
 from armspan.llm.norm_buckets import top_products
+from armspan.llm.page_archive import describe_records, read_records, write_archive
+from armspan.llm.pivot_codes import compress
 from armspan.llm.sequence_files import read_documents, write_sequences
 from armspan.llm.simhash_trie import near_duplicates
+from armspan.llm.simplex_clusters import cluster
 from armspan.llm.source_schedule import mixed_sizes
 from armspan.llm.string_tiling import leaks
 from armspan.llm.token_counts import count_tokens
@@ -88,6 +91,21 @@ def op10_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(files)
 
 
+def op11_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = describe_records(read_records(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_histogram_shards": op2_histogram_shards,
@@ -99,6 +117,9 @@ QUERIES = {
     "op8_pu_quality": op8_pu_quality,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_sequence_files": op10_sequence_files,
+    "op11_content_archive": op11_content_archive,
+    "op12_simplex_clusters": op12_simplex_clusters,
+    "op13_pivot_codes": op13_pivot_codes,
 }
 
 ORACLES = {
@@ -119,4 +140,7 @@ ORACLES = {
         from pairs
         qualify rank <= 5
     """,
+    "op11_content_archive": sql.ARCHIVE,
+    "op12_simplex_clusters": sql.clusters(),
+    "op13_pivot_codes": sql.codes(),
 }
