@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armspan.session import fresh_path
@@ -14,6 +15,7 @@ from armspan.session import fresh_path
 ROW_BITS = 33
 # ASCII white space, as in the class [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Paths of the tables stored so far.
 _made: list[str] = []
 _ARROW = {
@@ -63,11 +65,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     recomputation and values such as row numbers stay as they were written.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind, which else stay until the driver collects its garbage."""
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def release(docs: DataFrame) -> None:
     """Deletes the stored tables of this session, but for those that ``docs`` is read from.
 

@@ -76,7 +76,7 @@ def test_files_of_documents(spark, small_dir):
 
 
 def test_files_round_trip(odd_docs, no_docs):
-    files = write_sequences(odd_docs, WORDS, length=16, file_tokens=50).cache()
+    files = write_sequences(odd_docs, WORDS, length=16, file_tokens=50)
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in read_documents(files).collect())
     assert [i for _, i, _, _ in found] == [None, 1, 1, 2, 3, 5, 6, 7, 8]
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
