@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -46,8 +47,9 @@ def parse_run_name(
     An arm that the name lacks comes from ``record_arm``; parts that stay unknown
     are null.
     """
+    known_arms, known_modes = ("|".join(map(re.escape, names)) for names in (arms, modes))
     pattern = (
-        rf"^(?:.*/)?([a-z]+?)_(?:({'|'.join(arms)})_)?(?:({'|'.join(modes)})_)?"
+        rf"^(?:.*/)?([a-z]+?)_(?:({known_arms})_)?(?:({known_modes})_)?"
         r"run(\d+)_(\d{8}_\d{6})(?:\.json)?$"
     )
     # One match yields all parts. A match drops the word run, so it always alters the name.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Temporary folders of local sessions that name no shared one, by application.
+_temporary: dict[str, str] = {}
 
 
 def local_session(app_name: str = "armspan", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,17 +38,19 @@ def local_session(app_name: str = "armspan", cores: str = "*", shuffle_partition
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session may fall back to a temporary folder: on a cluster that
-    would scatter the files over the machines' own disks.
+    Only a local session may fall back to a temporary folder, which goes when the process
+    ends: on a cluster that would scatter the files over the machines' own disks.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="armspan-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _temporary:
+        folder = _temporary[application] = tempfile.mkdtemp(prefix="armspan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _temporary[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -34,14 +34,21 @@ def as_json(rows: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), _JSON_TIME).alias(column))
 
 
+def _only_row(record: DataFrame) -> DataFrame:
+    """Fails where ``record`` has several rows or none; at most two are looked at."""
+    texts = as_json(record).limit(2).agg(F.collect_list("value").alias("texts"))
+    problem = F.raise_error(F.lit("a document is one row")).cast("string")
+    return texts.select(F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(problem).alias("value"))
+
+
 def write_document(record: DataFrame, path: str) -> None:
-    """A one-row result as JSON text, replacing an earlier one."""
-    as_json(record).write.mode("overwrite").text(path)
+    """A result of one row as JSON text, replacing an earlier one; fails with any other number of rows."""
+    _only_row(record).write.mode("overwrite").text(path)
 
 
 def write_new_document(record: DataFrame, path: str) -> None:
-    """A one-row result as JSON text; fails if the path exists."""
-    as_json(record).write.mode("errorifexists").text(path)
+    """A result of one row as JSON text; fails if the path exists, or with any other number of rows."""
+    _only_row(record).write.mode("errorifexists").text(path)
 
 
 def write_run_records(records: DataFrame, path: str, arm: str = "provider") -> None:
