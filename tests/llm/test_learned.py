@@ -1,5 +1,7 @@
 """Tilings, personal data, toxicity, quality and the mix against brute force or held-out labels."""
 
+import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -83,15 +85,122 @@ def test_copies_of_a_plain_text_count_once(spark):
     assert contexts_found(spark, "please contact me at", seeds, words) == 0
 
 
-def test_results_do_not_depend_on_the_filters(spark, monkeypatch):
-    """Filters only screen: with 64 bits much of the text passes, and the join decides."""
-    rows = [(i, f"text {i % 7} write me at user{i}@mail.example.com or call code-{i} back") for i in range(40)]
-    rows += [(i, f"so write me at handle-{i} or call nobody, pay {i}00 now") for i in range(40, 60)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    wanted = sorted(map(tuple, find_personal_data(docs).collect()))
-    assert sum("context:" in r[-1] for r in wanted) == 20
-    monkeypatch.setattr(contextual_pii, "_FILTER_BITS", 6)
-    assert sorted(map(tuple, find_personal_data(docs).collect())) == wanted
+def sentences(n):
+    """Random texts as lists of tokens: words, seeds, handles, and labels that mostly stand before those."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(n):
+        tokens = []
+        for k in range(rng.randint(3, 25)):
+            draw = rng.random()
+            if draw < 0.6:
+                tokens.append(rng.choice(["call", "me", "at", "the", "of", "Write", "to", "and", "soon", "x"]) + str(rng.choice("abcdef")) * rng.randint(0, 2))
+            elif draw < 0.8:
+                tokens += [rng.choice(["mail:", "Account", "ref=", "from", "reach"]), rng.choice([f"user{i}@mail.org"] * 3 + [f"10.0.{i % 250}.{k}"] * 3 + [f"Code-{i}-{k}", "nobody"])]
+            elif draw < 0.9:
+                tokens += [f"id{i}x{k}@site.org", rng.choice(["answers", "is", "soon"])]
+            else:
+                tokens += [f"key-{i}{k}", rng.choice(["answers", "is", "soon"])]
+        texts.append(tokens)
+    return texts + texts[:5]
+
+
+def brute_contexts(texts, c=0.7, rounds=3):
+    """Spans of every text by the definition, with all plain words of all patterns listed."""
+    slots, edges, plain = [], defaultdict(dict), defaultdict(set)
+    bare = lambda t: t.rstrip(":=").lower()
+    norm = lambda t: ("#" if any(x.isdigit() for x in t) else bare(t)) + (":" if t[-1] in ":=" else "")
+    for number, tokens in enumerate(texts):
+        text = "".join(t if t[-1] == "=" else t + " " for t in tokens)
+        at = 0
+        for k, token in enumerate(tokens):
+            start = text.index(token, at)
+            at = start + len(token)
+            left, right = [norm(t) for t in tokens[max(0, k - 3) : k]], [norm(t) for t in tokens[k + 1 : k + 2]]
+            patterns = [(tuple(left[-m:]), ()) for m in (1, 2, 3) if len(left) >= m]
+            patterns += [((), tuple(right))] * len(right) + [(tuple(left[-1:]), tuple(right))] * (bool(left) and bool(right))
+            if "@" in token or token.startswith("10.0."):
+                seed = 1
+            elif any(x.isdigit() for x in token):
+                seed = 0
+            else:
+                for p in patterns:
+                    plain[p].add(bare(token))
+                continue
+            slots.append((number, start, at, seed, token.lower(), patterns))
+            for p in patterns:
+                edges[p][token.lower()] = max(seed, edges[p].get(token.lower(), 0))
+    score = {i: float(s) for found in edges.values() for i, s in found.items()}
+    score = {i: max(float(found.get(i, 0)) for found in edges.values()) for i in score}
+    seeds = {i for i in score if score[i]}
+    for step in range(rounds):
+        share = {}
+        for p, found in edges.items():
+            if sum(score[i] >= (c if step else 1.0) for i in found) >= 3:
+                share[p] = sum(score[i] for i in found) / (len(found) + len(plain[p]) + 1)
+        share = {p: s for p, s in share.items() if s >= c}
+        for i in score:
+            if i not in seeds:
+                missed = 1.0
+                for p in share:
+                    if i in edges[p]:
+                        missed *= 1 - share[p]
+                score[i] = 1 - missed
+    spans = defaultdict(list)
+    for number, start, end, seed, _, patterns in slots:
+        if seed or any(p in share for p in patterns):
+            spans[number].append((start, end, seed))
+    whole = ["".join(t if t[-1] == "=" else t + " " for t in tokens) for tokens in texts]
+    return whole, [spans[n] for n in range(len(texts))]
+
+
+def test_contexts_equal_the_unbounded_form(spark, monkeypatch):
+    """In any portions and blocks, patterns and spans are those of all plain words listed."""
+    texts, wanted = brute_contexts(sentences(150))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sum(not seed for spans in wanted for _, _, seed in spans) > 30
+    for looked, block in ((2_000, 100_000), (7, 3)):
+        monkeypatch.setattr(contextual_pii, "_LOOKED", looked)
+        monkeypatch.setattr(contextual_pii, "_BLOCK", block)
+        found = {r.doc_id: r.spans for r in find_personal_data(docs).collect()}
+        for number, spans in enumerate(wanted):
+            parts = [s.split(":") for s in found[number].split(",") if s]
+            assert [(int(a), int(b), int(kind != "context")) for kind, a, b in parts] == spans, texts[number]
+
+
+def test_seeds_in_changing_wording(spark):
+    """Labels, words behind and single words are patterns too: recall over handles that no form knows."""
+    rng = random.Random(1)
+    some = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet quis velit nulla".split()) + rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    forms = ["{} e-mail: {} {}", "{} (account={}) {}", "{} username {} {}", "{} {} wrote: {}"]
+    rows = [(i, rng.choice(forms).format(some(), f"user{i}@mail.org", some())) for i in range(200)]
+    rows += [(1000 + i, rng.choice(forms).format(some(), f"handle-{i}99", some())) for i in range(40)]
+    rows += [(2000 + i, f"{some()} 100{i} {some()}") for i in range(100)]
+    found = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum("context:" in found[1000 + i] for i in range(40)) >= 36
+    assert not any("context:" in found[2000 + i] for i in range(100))
+
+
+def test_identifiers_and_contexts():
+    text = 'x "AB-123456": id=9XYZ12, mail:anna@x.org (' + "y1" * 40 + ") " + "z" * 300_000 + "1 11:22 a12345"
+    base = base_spans(text)
+    assert [bare for _, _, bare in contextual_pii._identifiers(text, base)] == ["ab-123456", "9xyz12", "a12345"]
+    start = text.index("anna")
+    assert contextual_pii._around(text, start, start + 10) == ("id:", "#", "mail:", "")
+    assert contextual_pii._around("tell Bob: the 2 (a@b.c) now!", 17, 22) == ("bob:", "the", "#", "now")
+    assert contextual_pii._around("éa@b.c x", 1, 6) == ("", "", "", "x")
+
+
+def test_query_against_definitions(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in queries.documents(spark, sf_dir).select("doc_id", "text").collect()}
+    names = ["email", "ip", "card", "phone"]
+    for r in queries.op5_contextual_pii(spark, sf_dir).collect():
+        spans = by_regex(texts[r.doc_id] or "")
+        base = ",".join(f"{names[kind]}:{a}:{b}" for a, kind, b in spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(kind == k for _, kind, _ in spans) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        kept = [s for s in r.spans.split(",") if s and not s.startswith("context:")]
+        assert ",".join(kept) == base
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op6_toxic_crf", "toxic", 0.95), ("op8_pu_quality", "quality", 0.9)])
