@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from armspan.functions.identity import ARMS
 from armspan.plans.results import (
+    compare_records,
     compare_results,
     compare_runs,
     label_runs,
@@ -16,7 +17,7 @@ from armspan.plans.results import (
     write_comparison,
 )
 from armspan.session import kept
-from armspan.sources.records import read_run_records
+from armspan.sources.records import read_ml_metrics, read_run_records, read_storage_records
 
 
 def run(
@@ -29,8 +30,16 @@ def run(
     fill_missing: bool = False,
     sections: bool = False,
     skip_broken: bool = False,
+    storage_path: Sequence[str] = (),
+    training_path: Sequence[str] = (),
 ) -> None:
-    """Compares a folder of result documents or, with ``lines``, runs stored as JSON lines."""
+    """Compares a folder of result documents or, with ``lines``, runs stored as JSON lines.
+
+    With lines, ``storage_path`` and ``training_path`` are the folders of storage records and training
+    metrics as the repeat job stores them; both together give their tables too.
+    """
+    if bool(storage_path) != bool(training_path):
+        raise ValueError("name the folders of both storage records and training metrics")
     if lines:
         stored = read_run_records(spark, results_path, documents=False, skip_broken=skip_broken)
         runs = label_runs(stored, sorted({*ARMS, base, candidate}))
@@ -38,7 +47,11 @@ def run(
         runs = read_benchmarks(spark, results_path, skip_broken=skip_broken)
     # Several tables come from the runs, and parsing JSON is the costly part.
     with kept(runs):
-        if lines:
+        if lines and storage_path:
+            storage = read_storage_records(spark, storage_path, documents=False, skip_broken=skip_broken)
+            training = read_ml_metrics(spark, training_path, None, documents=False)
+            result = compare_records(runs, storage, training, base, candidate, fill_missing)
+        elif lines:
             result = compare_runs(runs, base, candidate, fill_missing)
         else:
             result = compare_results(spark, results_path, base, candidate, runs, fill_missing, skip_broken)
@@ -52,6 +65,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--base", default=ARMS[0])
     parser.add_argument("--candidate", default=ARMS[1])
     parser.add_argument("--lines", action="store_true", help="the paths hold JSON lines of the repeat job")
+    parser.add_argument("--storage-path", nargs="*", default=[], help="storage records of the repeat job")
+    parser.add_argument("--training-path", nargs="*", default=[], help="training metrics of the repeat job")
     parser.add_argument("--zero-filled", action="store_true", help="a run without a total time counts as 0")
     parser.add_argument("--sections", action="store_true", help="state runs, total time and notes in the report")
     parser.add_argument("--skip-broken", action="store_true", help="leave out records that do not fit")
@@ -70,6 +85,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.zero_filled,
         args.sections,
         args.skip_broken,
+        args.storage_path,
+        args.training_path,
     )
 
 

@@ -5,21 +5,19 @@ from __future__ import annotations
 import argparse
 import time
 from collections.abc import Sequence
-from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armspan.functions.pixels import assemble_columns
 from armspan.operators import learning
+from armspan.plans import repeats
+from armspan.plans.training import train_and_score
+from armspan.session import require_new
 from armspan.sinks.tables import write_document
 from armspan.sources.features import read_split
 
 
-def _now() -> str:
-    return datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
-
-
 def run(
     spark: SparkSession,
     data_path: str,
@@ -28,29 +26,30 @@ def run(
     batch_size: int = learning.BLOCK_SIZE,
     layers: Sequence[int] = learning.LAYERS,
     dataset: str = "fashion-mnist",
+    arm: str | None = None,
+    rates: DataFrame | None = None,
 ) -> dict:
     """Trains, scores and stores the metrics; returns them.
 
-    ``batch_size`` is the number of rows stacked into one block of the solver.
+    ``batch_size`` is the number of rows stacked into one block of the solver. With ``arm`` the run is
+    stored as a run record too, with its timings and what they cost by ``rates`` (by default the known
+    shapes and prices), also if it fails.
     """
-    started, start = _now(), time.perf_counter()
-    train, test = (assemble_columns(part, layers[0]) for part in read_split(spark, data_path))
-    fit_start = time.perf_counter()
-    model = learning.train_mlp(train, layers, epochs, batch_size)
-    training = time.perf_counter() - fit_start
-    scored = learning.scores(learning.predict(model, test.select("features", "label"))).first()
-    record = {
-        "training_time_seconds": training,
-        "accuracy": scored["accuracy"],
-        "f1_score": scored["f1_score"],
-        "epochs": epochs,
-        "architecture": list(layers),
-        "job_start_time": started,
-        "job_end_time": _now(),
-        "total_job_time_seconds": time.perf_counter() - start,
-        "dataset": dataset,
-        "batch_size": batch_size,
-    }
+    start = time.perf_counter()
+
+    def load() -> tuple[DataFrame, DataFrame]:
+        return tuple(assemble_columns(part, layers[0]) for part in read_split(spark, data_path))
+
+    if arm is None:
+        record = train_and_score(*load(), epochs, batch_size, layers, dataset)
+    else:
+        require_new(spark, f"{output_path}/runs")
+        attempts = repeats.repeat([repeats.training_kind(load, epochs, batch_size, layers, dataset)], 1)
+        repeats.write_attempts(spark, attempts, output_path, arm, rates)
+        if attempts[0].outcome.metrics is None:
+            raise RuntimeError(attempts[0].outcome.errors[0]["message"])
+        record = dict(attempts[0].outcome.metrics)
+    record["total_job_time_seconds"] = time.perf_counter() - start
     columns = [
         F.array(*[F.lit(n) for n in value]).alias(name) if isinstance(value, list) else F.lit(value).alias(name)
         for name, value in record.items()
@@ -66,10 +65,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--batch-size", type=int, default=learning.BLOCK_SIZE)
     parser.add_argument("--data-path", required=True)
     parser.add_argument("--output-path", required=True)
+    parser.add_argument("--arm", help="stores a run record of this arm")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("ml-training").getOrCreate()
     record = run(
-        spark, args.data_path, args.output_path, args.epochs, args.batch_size, dataset=args.dataset
+        spark, args.data_path, args.output_path, args.epochs, args.batch_size, dataset=args.dataset, arm=args.arm
     )
     print(f"accuracy {record['accuracy']:.4f}, F1 {record['f1_score']:.4f}")
 

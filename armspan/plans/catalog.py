@@ -14,7 +14,7 @@ from armspan.functions import identity, measures, pixels
 from armspan.operators import comparison, cost, learning, runstats, sampling, storage
 from armspan.operators import transactions as tx
 from armspan.plans import bindings as b
-from armspan.plans import profiling
+from armspan.plans import profiling, repeats
 from armspan.schemas import RUN_RECORD, STORAGE_RECORD
 from armspan.session import fresh_path
 from armspan.sinks import tables as sinks
@@ -640,6 +640,35 @@ def profile_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runstats.timing_key_stats(runs, ["provider"]).select("provider", "key", "count")
 
 
+@query
+def repeat_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storage tests repeated on the line items, read back from the records that they left."""
+    path = fresh_path(spark, "repeats")
+    kind = repeats.storage_kind(lambda: b.table(spark, sf_dir, "lineitem"), fresh_path(spark, "io"), "lineitem", (1, 2))
+    repeats.write_attempts(spark, repeats.repeat([kind], 2), path, "aws")
+    records = record_source.read_storage_records(spark, f"{path}/storage", documents=False)
+    tests = record_source.storage_tests(records, "provider", "test_file")
+    counted = tests.groupBy("provider", "test_file", "operation").agg(
+        F.count("*").alias("tests"), F.count("error").alias("failed")
+    )
+    stats = storage.stats_by_operation(record_source.storage_operations(records, "provider"))
+    return counted.join(stats.select("provider", "operation", F.col("duration_n").alias("runs")), ["provider", "operation"])
+
+
+@query
+def repeat_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training repeated on the embeddings: metrics and run records as they were stored."""
+    path = fresh_path(spark, "repeats")
+    kind = repeats.training_kind(lambda: _training_parts(spark, sf_dir), 1, layers=LAYERS, dataset="embeddings")
+    repeats.write_attempts(spark, repeats.repeat([kind], 2), path, "gcp")
+    metrics = record_source.read_ml_metrics(spark, f"{path}/training", None, documents=False)
+    runs = record_source.read_run_records(spark, f"{path}/runs", documents=False)
+    scored = metrics.groupBy("provider", "dataset", F.concat_ws(",", "architecture").alias("layers")).agg(
+        F.count_if(F.col("accuracy").between(0, 1) & F.col("f1_score").between(0, 1)).alias("scored")
+    )
+    return scored.join(runstats.run_success_counts(runs, ["provider"]), "provider")
+
+
 @query
 def compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = comparison.compare_arms(b.run_totals(spark, sf_dir))

@@ -589,6 +589,15 @@ ORACLES["profile_suite"] = _outcomes(*_SUITE)
 ORACLES["profile_repeated"] = "select 'local' as provider, key, 2::bigint as count from (values {0}) as t(key)".format(
     ", ".join(f"('{name}')" for name in (*[entry[0] for entry in _SUITE], "benchmark_execution", "total_time"))
 )
+ORACLES["repeat_storage"] = """
+    select 'aws' as provider, 'lineitem' as test_file, operation, tests::bigint as tests,
+        0::bigint as failed, 2::bigint as runs
+    from (values ('upload', 2), ('download', 2), ('sequential_read', 2), ('write', 4)) as t(operation, tests)
+    where (select count(*) from lineitem) > 0"""
+ORACLES["repeat_training"] = """
+    select 'gcp' as provider, 'embeddings' as dataset, '64,32,16,10' as layers, 2::bigint as scored,
+        2::bigint as num_runs, 2::bigint as successful_runs, 0::bigint as failed_runs
+    where (select count(*) from embeddings) > 0"""
 ORACLES["table_io_profile"] = """
     select operation, n as result_rows
     from (values ('write'), ('sequential_read')) as t(operation), (select count(*) as n from lineitem)"""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -48,7 +50,7 @@ TRANSACTION_OPERATIONS = (
 )
 
 
-def _now() -> str:
+def now() -> str:
     return datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
 
 
@@ -105,7 +107,7 @@ def profile_suite(
         "benchmark_type": "big_data",
         "dataset_mode": mode,
         "data_path": data_path,
-        "timestamp": _now(),
+        "timestamp": now(),
     }
     start = time.perf_counter()
     table = load()
@@ -135,26 +137,27 @@ def suite_row(spark: SparkSession, suite: Mapping) -> DataFrame:
     return spark.createDataFrame([tuple(values.get(n) for n in SUITE_RESULT.fieldNames())], SUITE_RESULT)
 
 
+def suite_outcome(suite: Mapping, build: Callable) -> object:
+    """``build`` of a suite's seconds by operation and in all, and of the errors of its operations."""
+    timings = {op["name"]: op["duration_seconds"] for op in suite["operations"]}
+    timings["benchmark_execution"] = suite["total_duration_seconds"]
+    errors = [
+        {"timestamp": now(), "message": op["error"], "type": op["name"]} for op in suite["operations"] if not op["success"]
+    ]
+    return build(timings, errors)
+
+
 def profile_repeated(run: Callable[[int], Mapping], repeats: int) -> list[dict]:
-    """Attempts ``run`` several times; a failed attempt is kept as a record with its error."""
+    """Attempts a suite several times; a failed attempt is kept as a record with its error."""
     attempts = []
     for number in range(1, repeats + 1):
         start = time.perf_counter()
-        errors = []
-        timings = {}
         try:
-            suite = run(number)
-            timings = {op["name"]: op["duration_seconds"] for op in suite["operations"]}
-            timings["benchmark_execution"] = suite["total_duration_seconds"]
-            errors = [
-                {"timestamp": _now(), "message": op["error"], "type": op["name"]}
-                for op in suite["operations"]
-                if not op["success"]
-            ]
+            timings, errors = suite_outcome(run(number), lambda *found: found)
         except Exception as problem:
-            errors = [{"timestamp": _now(), "message": str(problem), "type": type(problem).__name__}]
+            timings, errors = {}, [{"timestamp": now(), "message": str(problem), "type": type(problem).__name__}]
         timings["total_time"] = time.perf_counter() - start
-        attempts.append({"run": number, "timestamp": _now(), "timings": timings, "errors": errors})
+        attempts.append({"run": number, "timestamp": now(), "timings": timings, "errors": errors})
     return attempts
 
 
@@ -179,9 +182,9 @@ def attempt_rows(spark: SparkSession, attempts: Sequence[Mapping], provider: str
 
 
 def run_records(
-    attempts: DataFrame, rates: DataFrame, kind: str, mode: str, data_gb: float = cost.DEFAULT_DATA_GB
+    attempts: DataFrame, rates: DataFrame, kind: str, mode: str | None, data_gb: float = cost.DEFAULT_DATA_GB
 ) -> DataFrame:
-    """Attempts as run records: named, priced, and summarised.
+    """Attempts as run records: named, priced, and summarised. Without a mode their names have none.
 
     The cluster costs what its provisioning, if recorded, and the execution took. An
     attempt that did not come to an end has no cost entries.
@@ -196,16 +199,15 @@ def run_records(
     )
     priced = cost.experiment_cost(timed, rates, "_cluster", F.lit(data_gb), arm="provider")
     costs = F.when(F.col("_cluster").isNotNull(), cost.cost_map("provider"))
-    named = identity.run_name(
-        F.lit(kind), F.col("run"), F.date_format(started, "yyyyMMdd_HHmmss"), F.col("provider"), F.lit(mode)
-    )
+    stamp, mode_name = F.date_format(started, "yyyyMMdd_HHmmss"), F.lit(mode).cast("string")
+    named = identity.run_name(F.lit(kind), F.col("run"), stamp, F.col("provider"), mode_name)
     records = priced.select(
         named.alias("experiment_id"),
         "provider",
         started.alias("timestamp"),
         "timings",
         F.coalesce(costs, F.create_map().cast("map<string,double>")).alias("costs"),
-        F.struct(F.lit(kind).alias("benchmark_type"), F.lit(mode).alias("dataset_mode")).alias("metadata"),
+        F.struct(F.lit(kind).alias("benchmark_type"), mode_name.alias("dataset_mode")).alias("metadata"),
         "errors",
         F.col("_seconds"),
     )
@@ -253,3 +255,75 @@ def table_io_profile(rows: DataFrame, path: str) -> DataFrame:
         *transfer_record(F.col("mb"), F.col("seconds")),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+@contextmanager
+def _split_size(spark: SparkSession, megabytes: int) -> Iterator[None]:
+    """Scans planned inside read files in pieces of this size."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{megabytes}m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _tested(operation: str, key: str, size_field: str, act: Callable[[], float], **more: float) -> dict:
+    """Times one storage test; ``act`` returns the megabytes. A failure is kept with its error."""
+    start = time.perf_counter()
+    try:
+        size = act()
+    except Exception as problem:
+        return {"operation": operation, "key": key, **more, "error": str(problem)}
+    seconds = time.perf_counter() - start
+    rate = round(size / seconds, 2) if seconds > 0 else 0.0
+    return {
+        "operation": operation, "key": key, size_field: round(size, 2), **more,
+        "duration_seconds": round(seconds, 3), "throughput_mbps": rate,
+    }
+
+
+def storage_tests(
+    rows: DataFrame, folder: str, name: str = "table", sizes_mb: Sequence[int] = (5,), chunk_mb: int = 1
+) -> dict:
+    """Storage tests under ``folder`` as a record: all tests, and what they were made on.
+
+    ``rows`` are written (upload), read back whole (download) and in pieces of ``chunk_mb``
+    (sequential_read); then synthetic rows of each of ``sizes_mb`` are written. Sizes are those that the
+    file system reports. A test that fails is kept with its error; without the copy there is nothing to
+    read, and these tests are left out. The written files are deleted at the end.
+    """
+    spark = rows.sparkSession
+    root = f"{folder.rstrip('/')}/storage-test-{uuid.uuid4().hex}"
+    copy = f"{root}/{name}"
+    started = now()
+
+    def written(table: DataFrame, path: str) -> float:
+        table.write.parquet(path)
+        return _bytes_under(spark, path) / (1024.0 * 1024.0)
+
+    def scanned() -> float:
+        drain(spark.read.parquet(copy))
+        return _bytes_under(spark, copy) / (1024.0 * 1024.0)
+
+    try:
+        tests = [_tested("upload", copy, "file_size_mb", lambda: written(rows, copy))]
+        if "error" not in tests[0]:
+            tests.append(_tested("download", copy, "file_size_mb", scanned))
+            with _split_size(spark, chunk_mb):
+                tests.append(_tested("sequential_read", copy, "total_mb_read", scanned, chunk_size_mb=float(chunk_mb)))
+        for number, size in enumerate(sizes_mb):
+            key = f"{root}/write-{number}"
+            act = lambda size=size, key=key: written(synthetic_rows(spark, size), key)
+            tests.append(_tested("write", key, "data_size_mb", act))
+    finally:
+        _delete(spark, root)
+    return {
+        "timestamp": started, "test_file": name, "file_size_mb": tests[0].get("file_size_mb"), "bucket": folder, "tests": tests,
+    }
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

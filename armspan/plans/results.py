@@ -143,15 +143,25 @@ def compare_results(
 ) -> ResultComparison:
     """Compares the result files under ``root``; ``runs`` are its run records if already read."""
     runs = read_benchmarks(spark, root, skip_broken=skip_broken) if runs is None else runs
-    tables = compare_runs(runs, base, candidate, fill_missing)
     folder, glob = STORAGE_FILES
-    operations = records.storage_operations(
-        records.read_storage_records(spark, f"{root}/{folder}", glob, skip_broken=skip_broken), "provider"
-    )
+    stored = records.read_storage_records(spark, f"{root}/{folder}", glob, skip_broken=skip_broken)
+    return compare_records(runs, stored, read_training(spark, root), base, candidate, fill_missing)
+
+
+def compare_records(
+    runs: DataFrame,
+    storage: DataFrame,
+    training: DataFrame,
+    base: str = ARMS[0],
+    candidate: str = ARMS[1],
+    fill_missing: bool = False,
+) -> ResultComparison:
+    """All tables over run records, storage records and training metrics."""
+    tables = compare_runs(runs, base, candidate, fill_missing)
     return ResultComparison(
         **{field.name: getattr(tables, field.name) for field in fields(tables)},
-        storage=comparison.compare_storage(operations, base, candidate),
-        training=comparison.compare_ml_metrics(read_training(spark, root), base, candidate),
+        storage=comparison.compare_storage(records.storage_operations(storage, "provider"), base, candidate),
+        training=comparison.compare_ml_metrics(training, base, candidate),
     )
 
 

@@ -122,13 +122,14 @@ def storage_tests(records: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_ml_metrics(
-    spark: SparkSession, path: str | Sequence[str], name_glob: str = "part-*.txt", documents: bool = True
+    spark: SparkSession, path: str | Sequence[str], name_glob: str | None = "part-*.txt", documents: bool = True
 ) -> DataFrame:
-    """Training metrics from text part files.
+    """Training metrics from text part files or, without ``documents``, from JSON lines that state their arm.
 
-    Files that do not parse are skipped; an absent accuracy or F1 counts as 0.
+    Metrics that do not parse are skipped; an absent accuracy or F1 counts as 0.
     """
-    rows = _read_json(spark, path, ML_METRICS, name_glob, documents, skip_broken=True)
+    schema = ML_METRICS if documents else T.StructType([*ML_METRICS.fields, T.StructField("provider", T.StringType())])
+    rows = _read_json(spark, path, schema, name_glob, documents, skip_broken=True)
     return rows.withColumns(
         {name: F.coalesce(F.col(name), F.lit(0.0)) for name in ("accuracy", "f1_score")}
     )
