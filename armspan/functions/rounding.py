@@ -8,6 +8,7 @@ half to even (-82.5). These expressions give the latter.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ _SPLITTER = 134217729.0
 _NO_FRACTION = 4503599627370496.0
 # Up to here every whole number is a double of its own (2**53).
 _WHOLE_LIMIT = 9007199254740992.0
+# Width of the bins of exact_sum, and the size from which on values are not binned.
+_BIN_BITS = 24
+_BINNED = 2.0**62
 # Width of the part of a whole number that exact_sum adds apart.
 _LOW_BITS = 20
 
@@ -47,23 +51,61 @@ def fixed_text(value: Column, digits: int, signed: bool = False) -> Column:
 
 
 def exact_sum(amount: Column, digits: int | None = 2) -> Column:
-    """Sum of doubles, free of rounding where all of them carry at most ``digits`` decimals.
+    """Sum of doubles that does not depend on the order in which partial results meet.
 
-    A sum of doubles changes with the order in which partial results meet. Whole units
-    (cents) do not, and add faster than decimals. Their high and low bits are summed
-    apart, so a group can hold some 10**12 rows before an overflow, which would raise.
-    A group with any other value (more decimals, NaN, infinity, too large for whole
-    units) gets the plain sum of its doubles. So does every group with ``digits`` None.
+    Values of at most ``digits`` decimals are added as whole units (cents), so a group of such values has
+    the sum of its decimals, rounded once. Other values below 2**62 are cut by the place of their bits
+    into whole numbers (``_bins``), down to 2**-72; bits below are left out. Whole numbers add without
+    rounding, in parts small enough for some 10**11 rows a group (an overflow would raise), and they are
+    put together at the end in one order, so the result has the same bits for any partitioning.
+    NaN and infinity give what doubles give in any order: infinity, or NaN with NaN or both infinities.
+    Finite values from 2**62 (4.6 * 10**18) on are added as doubles: only in groups with such a value the
+    last bits depend on the order. Nulls are left out; the sum of nothing is null. With ``digits`` None
+    it is the plain sum of doubles.
     """
-    plain = F.sum(amount)
     if digits is None:
-        return plain
+        return F.sum(amount)
+    value = amount.cast("double")
     scale = float(10**digits)
-    scaled = F.rint(amount.cast("double") * scale)
-    whole = (F.abs(scaled) < _WHOLE_LIMIT) & (scaled / scale == amount)
+    scaled = F.rint(value * scale)
+    # False for NaN and infinity: these compare as larger.
+    whole = (F.abs(scaled) < _WHOLE_LIMIT) & (scaled / scale == value)
     units = F.when(whole, scaled).cast("bigint")
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
     unit = F.lit(Decimal(1).scaleb(-digits))
     exact = ((high * F.lit(Decimal(2**_LOW_BITS)) + low) * unit).cast("double")
-    return F.when(F.count(amount) == F.count(units), exact).otherwise(plain)
+    binned = F.abs(value) < _BINNED
+    bins = _put_together([F.sum(F.when(~whole & binned, b)) for b in _bins(value)])
+    other = F.sum(F.when(~(whole | binned), value))
+    parts = [exact, bins, other]
+    present = exact.isNotNull() | bins.isNotNull() | other.isNotNull()
+    return F.when(present, reduce(lambda a, b: a + b, [F.coalesce(part, F.lit(0.0)) for part in parts]))
+
+
+def _bins(value: Column) -> list[Column]:
+    """Whole numbers in units of 2**24, 1, 2**-24, 2**-48 and 2**-72 that add up to ``value``.
+
+    Each step takes the whole part off and keeps a rest that a double holds exactly.
+    """
+    whole = value.cast("bigint")
+    bins = [F.shiftright(whole, _BIN_BITS), whole.bitwiseAND(2**_BIN_BITS - 1)]
+    rest = value - whole.cast("double")
+    for _ in range(3):
+        rest = rest * float(2**_BIN_BITS)
+        bins.append(rest.cast("bigint"))
+        rest = rest % 1.0
+    return bins
+
+
+def _put_together(sums: list[Column]) -> Column:
+    """The double that sums of bins come to, within the last bits of the largest of them.
+
+    The two parts of whole numbers meet first, as their signs may differ; then the lowest come first.
+    """
+    doubles = [total.cast("double") for total in sums]
+    below = doubles[-1] * 2.0**-_BIN_BITS
+    for total in reversed(doubles[3:-1]):
+        below = (below + total) * 2.0**-_BIN_BITS
+    below = (below + doubles[2]) * 2.0**-_BIN_BITS
+    return (doubles[0] * 2.0**_BIN_BITS + doubles[1]) + below

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from armspan.functions.rounding import round_exact
 
 TOTAL_KEY = "total"
+# Parts that the keys of a group are dealt to.
+_KEY_BUCKETS = 64
 # Fixed value: the cost entry that repeats the sum of its parts.
 COMPUTE_SUBTOTAL = "total_compute"
 
@@ -63,8 +65,8 @@ def metric_key_stats(
     With ``fill_missing`` a run whose map lacks a key counts as 0 for that key; a run
     without the map is left out. Each run adds one marker entry without a key, so one
     scan gives both the key statistics and the number of runs per group, from which the
-    zeros are folded in; no row is made for a missing entry. The window runs over the
-    statistics, one row per distinct key. ``with_total`` adds the sum of each map as the
+    zeros are folded in; no row is made for a missing entry. Windows run over the
+    statistics, one row per distinct key, in ``_KEY_BUCKETS`` parts of each group. ``with_total`` adds the sum of each map as the
     key ``total``, in place of an entry of that name.
     """
     if not by:
@@ -100,8 +102,12 @@ def metric_key_stats(
         return stats.select(
             *by, "key", F.col("_n").alias("count"), "mean", F.sqrt("_var").alias("std"), "min", "max"
         )
-    marked = F.max(F.when(F.col("key").isNull(), F.col("_rows"))).over(Window.partitionBy(*by))
-    present = stats.withColumn("count", marked).filter(F.col("key").isNotNull())
+    # Markers go to every bucket of their group and keys to one: no task gets all keys of a group.
+    place = F.pmod(F.xxhash64("key"), F.lit(_KEY_BUCKETS))
+    places = F.when(F.col("key").isNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(_KEY_BUCKETS - 1).cast("bigint")))
+    dealt = stats.select("*", F.explode(F.coalesce(places, F.array(place))).alias("_bucket"))
+    marked = F.max(F.when(F.col("key").isNull(), F.col("_rows"))).over(Window.partitionBy(*by, "_bucket"))
+    present = dealt.withColumn("count", marked).filter(F.col("key").isNotNull())
     share = F.col("_n") / F.col("count")
     zeros = F.col("_n") < F.col("count")
     # Variance of two merged groups, one of which is all zeros.

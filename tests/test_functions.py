@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,38 @@ def test_exact_sum_does_not_depend_on_order(spark):
         assert total == sum(cents) / 100
 
 
+@pytest.mark.parametrize("kind", ["thousandths", "sizes", "cancelling", "small"])
+def test_exact_sum_has_the_same_bits_for_any_partitioning(spark, kind):
+    generator = random.Random(11)
+    makers = {
+        "thousandths": lambda: generator.randint(-(10**9), 10**9) / generator.choice([10, 100, 1000, 10**5]),
+        "sizes": lambda: generator.uniform(-1, 1) * 10.0 ** generator.randint(-4, 18),
+        "cancelling": lambda: generator.choice([1e17 + 64, -1e17 - 64, 0.125, 1 / 3, -2 / 3]),
+        "small": lambda: generator.uniform(-1, 1) * 1e-4,
+    }
+    values = [makers[kind]() for _ in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    found = {rows.repartition(n, "i").agg(exact_sum(F.col("v"))).first()[0] for n in (1, 7, 200)}
+    assert len(found) == 1
+    total = found.pop()
+    exact = sum(Fraction(v) for v in values)
+    assert abs(Fraction(total) - exact) <= Fraction(math.ulp(max(map(abs, values)))) + abs(exact) * Fraction(2) ** -51
+
+
+def test_exact_sum_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        1: [1.25, nan, 2.0], 2: [inf, 1.005, -7.0], 3: [inf, -inf], 4: [-inf, 1e300, 1e26], 5: [None, None], 6: [None, 0.005],
+        7: [1e18, 1e18, 0.1, -1e18], 8: [-0.0], 9: [1e17, 1.5, -1e17], 10: [5e-324], 11: [1e300, 1.0],
+        12: [-(2.0**61), 0.001, 2.0**61],
+    }
+    rows = spark.createDataFrame([(k, v) for k, found in groups.items() for v in found], "k int, v double")
+    found = dict(tuple(r) for r in rows.repartition(5).groupBy("k").agg(exact_sum(F.col("v"))).collect())
+    assert math.isnan(found[1]) and math.isnan(found[3]) and found[2] == inf and found[4] == -inf and found[5] is None
+    assert (found[6], found[7], found[8], found[9], found[11]) == (0.005, 1e18, 0.0, 1.5, 1e300)
+    assert found[10] == 0.0 and found[12] == pytest.approx(0.001, rel=1e-9)
+
+
 def test_exact_sum_passes_the_range_of_double(spark):
     rows = spark.range(1000).select((F.lit(90_000_000_000_000.01)).alias("v"))
     unit = round(90_000_000_000_000.01 * 100)
@@ -135,10 +169,9 @@ def test_null_features_fail(spark):
 
 
 @pytest.mark.parametrize("values", [[0.004] * 1000, [0.1, float("nan")], [1e17, 0.25, -3.0], [float("inf"), 1.0]])
-def test_amounts_that_are_no_whole_cents_are_summed_plainly(spark, values):
+def test_amounts_that_are_no_whole_cents_are_summed_exactly(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
-    found, plain = rows.agg(exact_sum(F.col("v")), F.sum("v")).first()
-    assert repr(found) == repr(plain)
+    assert repr(rows.agg(exact_sum(F.col("v"))).first()[0]) == repr(math.fsum(values))
 
 
 def test_one_group_does_not_decide_for_another(spark):
