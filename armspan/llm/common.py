@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +17,9 @@ ROW_BITS = 33
 # ASCII white space, as in the class [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-# Paths of the tables stored so far.
+# Paths of the tables stored so far, and of those stored for whoever owns them just now.
 _made: list[str] = []
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 _ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -68,6 +70,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     with _tidy(df.sparkSession):
         df.write.parquet(path)
     _made.append(path)
+    if (mine := _owned.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +86,24 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIDY, before)
 
 
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside, for who has to delete them."""
+    tables: list[str] = []
+    before = _owned.set(tables)
+    try:
+        yield tables
+    finally:
+        _owned.reset(before)
+
+
+def discard(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes stored tables; no result that is still to be read may need them."""
+    for path in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(docs: DataFrame) -> None:
     """Deletes the stored tables of this session, but for those that ``docs`` is read from.
 

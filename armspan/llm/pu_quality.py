@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armspan.llm.common import arrow_map, pick
+from armspan.llm.common import arrow_map, pick, stored
 
 _WORD = re.compile(r"\w+")
 _FEATURES = 14
@@ -113,29 +113,32 @@ def fit(
     anywhere in feature space, the ratio of unlabelled to positive mass, so it is the least such
     ratio over the tails of a classifier of positives against unlabelled, with room for chance.
 
-    The samples are bounded: ``rows`` positives by a hash of the id, and unlabelled documents
-    taken by a hash of the text at the rate that gives about ``rows``. Labels that are null or
-    negative do not count; without positives or text every score is the prior of one half.
+    The samples are bounded: up to ``rows`` positives and ``rows`` unlabelled documents, those with the
+    smallest hashes of id and text, so copies of a text come by their share and repeated rows together.
+    Labels that are null or negative do not count; without positives or text every score is the prior of
+    one half.
     """
     known = pick(labels, "doc_id", label).toDF("doc_id", "y").where((F.col("y") > 0) & train)
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = pick(df, "doc_id", "text")
     total = texts.count()
-    rate = min(1.0, rows / max(1, total))
-    drawn = F.pmod(F.xxhash64("text", F.lit(99)), F.lit(1_000_000)) < math.ceil(rate * 1_000_000)
+    # Enough for ``rows`` but for chance; the hash decides which of them stay.
+    rate = min(1.0, 1.2 * rows / max(1, total))
+    order = F.xxhash64("doc_id", "text", F.lit(99))
+    drawn = F.pmod(order, F.lit(1_000_000)) < math.ceil(rate * 1_000_000)
     # At most ``rows`` ids.
     marked = texts.join(F.broadcast(ids.withColumn("p", F.lit(1))), "doc_id", "left")
     sample = marked.where(F.col("p").isNotNull() | drawn).select(
-        "text", F.coalesce("p", F.lit(0)).alias("p"), drawn.cast("int").alias("u")
+        "text", F.coalesce("p", F.lit(0)).alias("p"), drawn.cast("int").alias("u"), order.alias("h")
     )
 
     def each(given: Iterator[dict]) -> Iterator[tuple]:
         for row in given:
-            yield row["p"], row["u"], shape(row["text"])
+            yield row["p"], row["u"], row["h"], shape(row["text"])
 
-    found = arrow_map(sample, each, "p int, u int, x array<float>").collect()
-    positive = np.array([r["x"] for r in found if r["p"]], "f8").reshape(-1, _FEATURES)
-    unlabelled = np.array([r["x"] for r in found if r["u"]], "f8").reshape(-1, _FEATURES)
+    found = stored(arrow_map(sample, each, "p int, u int, h bigint, x array<float>"), "quality-sample")
+    first = lambda part: found.where(f"{part} = 1").orderBy("h", "x").limit(rows).select("x").collect()
+    positive, unlabelled = (np.array([r["x"] for r in first(part)], "f8").reshape(-1, _FEATURES) for part in "pu")
     # The order in which rows arrive does not matter.
     positive, unlabelled = (x[np.lexsort(x.T[::-1])] for x in (positive, unlabelled))
     model = QualityModel()

@@ -155,31 +155,38 @@ def _schedule(aims: DataFrame, n: int, n_sources: int) -> DataFrame:
 
 
 def mixed_sizes(df: DataFrame, block: int = 4096) -> DataFrame:
-    """One row per row of ``df``: doc_id, size, source_size, target and taken.
+    """One row per row of ``df``: doc_id, size, source_size, target, taken and slot.
 
-    ``taken`` is the number of the document's words in the mix, repeats counted.
+    ``taken`` is the number of the document's words in the mix, repeats counted; ``slot`` the place in
+    the mix where its first words come, null if none do. Null ids and repeated rows keep their rows;
+    extra columns are ignored; an empty table gives no rows.
     """
     pieces, rows = mix(df, block, carry=["doc_id"])
-    taken = pieces.groupBy("t").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("t").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     joined = rows.join(taken, "t", "left")
     return joined.select(
         F.col("row.c0").alias("doc_id"), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("taken", F.lit(0)).alias("taken"), "slot",
     )
 
 
 def mixed_rows(df: DataFrame, block: int = 4096) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them: once per epoch that takes over half of
-    the document's words, and once if no epoch does but some words are taken. Rows without words stay once.
+    """The rows of ``df`` as often as the mix takes them, in the order of the mix: once per epoch that takes
+    over half of the document's words, and once if no epoch does but some words are taken.
 
-    No document that is wanted is lost, and columns and values are unchanged.
+    A row comes at the slot of its first words in the epoch; rows of one slot, in the order of their
+    stream. Rows without words (null and empty texts too) stay once, at the end. No document that is wanted is
+    lost, and columns and values are unchanged, whatever they are called. Null ids and repeated rows are rows
+    as any; an empty table gives no rows.
     """
     pieces, rows = mix(df, block)
-    by_epoch = pieces.groupBy("t", "epoch").agg(F.sum("words").alias("w"))
-    wide = by_epoch.groupBy("t").agg(F.collect_list("w").alias("ws"))
+    by_epoch = pieces.groupBy("t", "epoch").agg(F.sum("words").alias("w"), F.min(F.struct("slot", "first")).alias("at"))
+    wide = by_epoch.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("takes"))
     joined = rows.join(wide, "t", "left")
-    often = F.size(F.filter("ws", lambda w: w * 2 > F.col("size")))
-    copies = F.when(F.col("size") == 0, 1).when(F.col("ws").isNull(), 0).otherwise(F.greatest(often, F.lit(1)))
-    out = joined.withColumn("copies", copies).where("copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return unnested(out, df.columns)
+    most = F.filter("takes", lambda take: take["w"] * 2 > F.col("size"))
+    some = F.when(F.size(most) > 0, most).otherwise(F.slice("takes", 1, 1))
+    places = F.transform(some, lambda take: take["at"]["slot"])
+    none = F.array(F.lit(None).cast("bigint"))
+    wanted = F.when(F.col("size") == 0, none).otherwise(F.coalesce(places, F.array().cast("array<bigint>")))
+    out = joined.select("row", "t", F.explode(wanted).alias("slot"))
+    return unnested(out.orderBy(F.col("slot").asc_nulls_last(), "t").select("row"), df.columns)

@@ -146,7 +146,11 @@ def leaks(
 def without_leaks(
     df: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, block_bytes: int = 8_388_608
 ) -> DataFrame:
-    """The rows of ``df`` that hold no benchmark item, unchanged, whatever their ids are."""
+    """The rows of ``df`` that hold no benchmark item, unchanged, whatever their ids are.
+
+    Null and empty texts hold none; repeated rows stay or go together. Extra columns stay, whatever their
+    names; an empty table gives no rows, and an empty benchmark leaves all.
+    """
     rows, col = nested(df)
     for items in _blocks(benchmark, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(ItemIndex(items, min_words))

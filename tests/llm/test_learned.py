@@ -1,16 +1,19 @@
 """Tilings, personal data, toxicity, quality and the mix against brute force or held-out labels."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from armspan.llm import contextual_pii, queries
+from armspan.llm import contextual_pii, pu_quality, queries, toxic_crf
 from armspan.llm.contextual_pii import base_spans, find_personal_data
-from armspan.llm.source_schedule import mixed_sizes
+from armspan.llm.source_schedule import mix, mixed_rows, mixed_sizes
 from armspan.llm.string_tiling import leaks, without_leaks
 
 
@@ -221,6 +224,96 @@ def test_mix_meets_targets(spark, sf_dir, odd_docs, no_docs):
         taken[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
     assert all(0 <= target[s] - taken[s] < 1 for s in target)
+    assert all((r.slot is None) == (r.taken == 0) for r in rows)
     assert abs(sum(target.values()) - 1.5 * sum(r.size for r in rows)) < 1
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, queries.op7_source_schedule(spark, sf_dir).collect()), key=str)
     assert mixed_sizes(odd_docs).count() == 9 and mixed_sizes(no_docs).count() == 0
+
+
+def schedule(blocks):
+    """Source of every slot: golden-ratio points in the cumulative block counts."""
+    n = sum(blocks)
+    step = max(1, round(n * (math.sqrt(5) - 1) / 2))
+    while math.gcd(step, n) > 1:
+        step += 1
+    ends = list(itertools.accumulate(blocks))
+    return [next(s for s, end in enumerate(ends) if i * step % n < end) for i in range(n)]
+
+
+def test_slots_follow_the_schedule(spark):
+    sizes = {"a": 60, "b": 10, "c": 25, None: 5}
+    rows = [(i, " ".join(["w"] * (7 + i % 5)), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows + [(900, None, "a"), (901, "", None)], "doc_id bigint, text string, source string")
+    pieces, whole = mix(docs, block=16)
+    target = {r.source: r.target for r in whole.collect()}
+    names = ["a", "b", "c", None]
+    wanted = schedule([math.ceil(math.floor(target[s]) / 16) for s in names])
+    found = {p.slot: names.index(p.source) for p in pieces.collect()}
+    assert [found[i] for i in range(len(wanted))] == wanted and len(found) == len(wanted)
+    first = {}
+    for p in pieces.collect():
+        first.setdefault((p.t, p.epoch), []).append((p.slot, p.words))
+    place = {r.t: r.row.c0 for r in whole.collect()}
+    size = {i: len((text or "").split()) for i, text, _ in rows}
+    plan = []
+    for t in {t for t, _ in first}:
+        epochs = sorted((min(found)[0], sum(n for _, n in found)) for (u, _), found in first.items() if u == t)
+        most = [e for e in epochs if 2 * e[1] > size[place[t]]] or epochs[:1]
+        plan += [(slot, place[t]) for slot, _ in most]
+    plan.sort()
+    out = [r.doc_id for r in mixed_rows(docs, block=16).collect()]
+    assert sorted(out[-2:]) == [900, 901]
+    slots = dict.fromkeys(i for _, i in plan)
+    assert sorted(out[:-2]) == sorted(i for _, i in plan) and len(slots) > 50
+    by_slot = defaultdict(set)
+    for slot, i in plan:
+        by_slot[slot].add(i)
+    at = 0
+    for slot in sorted(by_slot):
+        n = sum(s == slot for s, _ in plan)
+        assert set(out[at : at + n]) == by_slot[slot]
+        at += n
+
+
+@pytest.mark.parametrize("model", [pu_quality, toxic_crf])
+def test_samples_are_bounded(spark, model, monkeypatch):
+    """A text that a third of the rows have, and rows that repeat, do not outgrow the sample."""
+    texts = [f"good words number {i} and more of them" if i % 2 else f"bad b{i} words! {'damn' if i % 4 else ''}" for i in range(400)]
+    rows = list(enumerate(texts)) + [(1000 + i, "the same text again and again") for i in range(300)] + [(1, texts[1])] * 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 2)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    sizes = []
+
+    def counted(df, label, stored=model.stored):
+        out = stored(df, label)
+        if label.endswith("sample"):
+            sizes.append(out)
+        return out
+
+    monkeypatch.setattr(model, "stored", counted)
+    model.fit(docs, labels, F.lit(True), rows=40)
+    assert len(sizes) == 1
+    if model is toxic_crf:
+        assert sizes[0].count() <= 2 * 40 and sizes[0].groupBy("y", "h").count().where("count > 1").isEmpty()
+    else:
+        # The drawn rows of the frequent text come by their share, not all or none.
+        assert sizes[0].where("p = 0 and u = 1").count() < 150
+
+
+def test_odd_documents_are_scored_and_kept(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(1, 9)], "doc_id bigint, quality int, toxic int, y string")
+    everyone = F.lit(True)
+    for fit, score, name in ((toxic_crf.fit, toxic_crf.toxicity, "toxic"), (pu_quality.fit, pu_quality.quality, "quality")):
+        for docs, found in ((odd_docs, labels), (odd_docs, labels.limit(0)), (no_docs, labels)):
+            model = fit(docs, found, everyone)
+            assert all(0 <= r.score <= 1 for r in score(odd_docs, model).collect())
+            assert score(odd_docs, model).count() == 9 and score(no_docs, model).count() == 0, name
+    assert toxic_crf.without_toxic(no_docs, labels).count() == 0
+    kept = toxic_crf.without_toxic(odd_docs, labels)
+    assert kept.columns == odd_docs.columns and kept.count() <= 9
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (None, None)], "item_id bigint, text string")
+    clean = without_leaks(odd_docs, bench)
+    assert clean.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 2, 3, 5, 6, 7, 8]
+    mixed = mixed_rows(odd_docs)
+    assert mixed.columns == odd_docs.columns and mixed_rows(no_docs).count() == 0
+    assert {2, 3, 5} <= {r.doc_id for r in mixed.collect()}
