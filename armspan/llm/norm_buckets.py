@@ -13,6 +13,8 @@ from armspan.llm.common import pick, stored
 # coordinates; below it, by length.
 _COORDINATE_COSINE = 0.8
 _COORDINATES = 3
+# Lengths that separate buckets, at most; larger buckets are cut into parts.
+_CUTS = 2_000
 # Cells of the score matrix held at once.
 _CELLS = 4_000_000
 # Room for rounding in bounds that are computed in floating point.
@@ -69,38 +71,45 @@ def top_products(
     buckets, edges = _bucketed(rows, total, bucket_rows)
     placed = stored(buckets, "placed")
     queries = rows.where(is_query & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-queries.count() // query_rows))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")
-    queries = stored(queries.select("vec_id", "v", "len", block), "queries")
+    queries = stored(queries.select("vec_id", "v", "len"), "queries")
 
     # The longest vectors give every query its first threshold.
-    unarmed = queries.select("*", F.lit(None).cast("bigint").alias("least"))
+    unarmed = _in_blocks(queries.withColumn("far", F.lit(0)), query_rows).withColumn("least", F.lit(None).cast("bigint"))
     longest = unarmed.withColumn("bucket", F.lit(0)).withColumn("part", F.lit(0))
-    first = _matched(placed.where("bucket = 0 and part = 0"), longest, blocks, k)
+    first = _matched(placed.where("bucket = 0 and part = 0"), longest, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
     kth = kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    armed = stored(queries.join(kth, "vec_id", "left"), "armed")
 
     # Buckets are in descending order of length: a query meets a prefix of them.
     reach = lambda edge: F.col("len") * edge * (1.0 + _ROOM) >= F.col("least")
     far = F.aggregate(edges, F.lit(0), lambda n, edge: n + reach(edge).cast("int"))
     far = F.when(F.col("least").isNull(), F.size(edges)).otherwise(far)
-    met = armed.withColumn("bucket", F.explode(F.sequence(F.lit(0), far)))
+    armed = stored(queries.join(kth, "vec_id", "left").withColumn("far", far), "armed")
+    met = _in_blocks(armed, query_rows).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("far"))))
     # One row a bucket.
     parts = placed.groupBy("bucket").agg(F.max("part").alias("last"))
     met = met.join(F.broadcast(parts), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    found = _matched(placed, met, blocks, k)
+    found = _matched(placed, met, k)
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _in_blocks(queries: DataFrame, query_rows: int) -> DataFrame:
+    """Adds block: about ``query_rows`` queries that reach equally ``far``, so they meet the same buckets."""
+    sizes = queries.groupBy("far").agg(F.ceil(F.count("*") / F.lit(float(query_rows))).alias("_blocks"))
+    # One row a bucket: at most _CUTS + 1.
+    joined = queries.join(F.broadcast(sizes), "far")
+    block = F.struct("far", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).alias("number"))
+    return joined.withColumn("block", block).drop("_blocks")
+
+
 def _bucketed(rows: DataFrame, total: int, bucket_rows: int) -> tuple[DataFrame, Column]:
     """Adds bucket (0: longest) and part (of a bucket that is too large).
 
     Also gives what no length in a bucket exceeds, for all buckets but the first.
     """
-    n = -(-total // bucket_rows)
+    n = min(-(-total // bucket_rows), _CUTS + 1)
     cuts: list[float] = []
     if n > 1:
         shares = [i / n for i in range(1, n)]
@@ -115,12 +124,17 @@ def _bucketed(rows: DataFrame, total: int, bucket_rows: int) -> tuple[DataFrame,
     return joined.select("vec_id", "v", "len", "bucket", part.alias("part")), edges
 
 
-def _matched(placed: DataFrame, met: DataFrame, blocks: int, k: int) -> DataFrame:
+def _dealt(placed: DataFrame, met: DataFrame) -> DataFrame:
+    """Every candidate once for each block of queries that meets its part of a bucket."""
+    return placed.join(met.select("bucket", "part", "block").distinct(), ["bucket", "part"])
+
+
+def _matched(placed: DataFrame, met: DataFrame, k: int) -> DataFrame:
     """Top ``k`` of each part of a bucket for each query that meets it."""
-    keys = ["bucket", "part", "block"]
-    candidates = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select("vec_id", "v", "len", "least", *[F.col(c).cast("int").alias(c) for c in keys])
-    candidates = candidates.select("vec_id", "v", "len", *[F.col(c).cast("int").alias(c) for c in keys])
+    met = met.withColumn("bucket", F.col("bucket").cast("int")).withColumn("part", F.col("part").cast("int"))
+    keys = ["bucket", "part", "far", "number"]
+    candidates = _dealt(placed, met).select("bucket", "part", "block.*", "vec_id", "v", "len")
+    met = met.select("bucket", "part", "block.*", "vec_id", "v", "len", "least")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

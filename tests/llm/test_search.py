@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from armspan.llm import queries
+from armspan.llm import norm_buckets, queries
 from armspan.llm.norm_buckets import top_products
 from armspan.llm.simhash_trie import fingerprint, linked, near_duplicates, one_of_each
 
@@ -42,6 +42,32 @@ def test_top_products(spark, shape):
     assert {tuple(r) for r in found.collect()} == brute(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_candidates_go_to_the_blocks_that_reach_them(spark, monkeypatch):
+    """With skewed lengths most queries need the longest buckets only, and the others are not repeated for them."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2000, 8)) * np.exp(rng.normal(size=(2000, 1)) * 2)
+    df = spark.createDataFrame([(i, [float(x) for x in v], None, None, None) for i, v in enumerate(base)], VECTORS)
+    copies = []
+
+    def counted(placed, met, dealt=norm_buckets._dealt):
+        out = dealt(placed, met)
+        copies.append((out.count(), met.select("block").distinct().count()))
+        return out
+
+    monkeypatch.setattr(norm_buckets, "_dealt", counted)
+    assert top_products(df, F.col("vec_id") % 5 == 0, k=5, bucket_rows=100, query_rows=20).count() == 2000
+    repeated, blocks = copies[-1]
+    assert blocks > 10 and repeated < 0.5 * blocks * len(base)
+
+
+def test_more_buckets_than_cuts(spark, monkeypatch):
+    monkeypatch.setattr(norm_buckets, "_CUTS", 2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).normal(size=(120, 4)))]
+    df = spark.createDataFrame([(i, v, None, None, None) for i, v in rows], VECTORS)
+    found = top_products(df, F.col("vec_id") % 10 == 0, k=3, bucket_rows=10, query_rows=3)
+    assert {tuple(r) for r in found.collect()} == brute(rows, lambda i: i % 10 == 0, 3)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     good = [(0, [1.0, 2.0]), (10, [0.5]), (3, []), (4, [-1.0, -1.0]), (None, [9.0, 9.0]), (0, [1.0, 2.0]), (5, [1e7, 1e8])]
