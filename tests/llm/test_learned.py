@@ -29,6 +29,45 @@ def test_tiles_catch_reordered_passages(spark, odd_docs, no_docs):
     assert leaks(no_docs, bench).count() == 0 and leaks(odd_docs, bench.limit(0)).count() == 0
 
 
+def slow_tiles(doc, item, n):
+    """Longest unmarked common runs first; ties by the place in the item, then in the document."""
+    in_doc, in_item, tiles = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = (n - 1, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and not (in_doc[i + k] or in_item[j + k]):
+                    k += 1
+                best = max(best, (k, -j, -i))
+        if best[0] < n:
+            return sorted(tiles)
+        k, j, i = best[0], -best[1], -best[2]
+        in_doc[i : i + k] = in_item[j : j + k] = [True] * k
+        tiles.append((i, j, k))
+
+
+def test_tiles_against_all_matches(spark):
+    rng = random.Random(2)
+    words = "ab bc cd de ef".split()
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 18)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        item = items[i % 12][1].split()
+        cut = rng.randint(0, len(item))
+        docs.append((i, " ".join([rng.choice(words), *item[cut:], rng.choice(words), *item[:cut]] if i % 3 else [rng.choice(words) for _ in range(25)])))
+    wanted = set()
+    for doc_id, text in docs:
+        for item_id, item in items:
+            size = len(item.split())
+            tiles = slow_tiles(text.split(), item.split(), min(5, size))
+            if sum(k for _, _, k in tiles) >= 0.8 * size:
+                wanted.add((doc_id, item_id, size, ",".join(f"{i}:{j}:{k}" for i, j, k in tiles)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), bench)
+    assert {(r.doc_id, r.item_id, r.item_words, r.tiles) for r in found.collect()} == wanted and len(wanted) > 20
+
+
 def by_regex(text):
     """The fixed forms as their definitions read."""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

@@ -1,10 +1,12 @@
 """Histogram shards against a running sum."""
 
 import itertools
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from armspan.llm import queries
 from armspan.llm.histogram_shards import shard_by_bytes
 
 
@@ -56,3 +58,15 @@ def test_shards_are_native(spark):
     df = spark.range(100).select("id", F.lit(1).alias("s"))
     plan = shard_by_bytes(df, "id", "s")._jdf.queryExecution().toString()
     assert not any(word in plan for word in itertools.chain(("Python", "Pandas", "Arrow")))
+
+
+def test_query_against_plain_python(spark, small_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.documents(spark, small_dir).collect()}
+    rows = queries.op2_histogram_shards(spark, small_dir).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)} and {r.shard for r in rows} <= set(range(24))
+    total, most = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    for shard in range(24):
+        mine = [r for r in rows if r.shard == shard]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["size"] for r in mine) - total / 24) <= most
