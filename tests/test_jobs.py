@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,16 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Elsewhere())
+
+
+def test_a_local_session_falls_back_to_a_folder_of_its_own():
+    class Local:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "local-test"
+
+    folder = session.shared_folder(Local())
+    assert os.path.isdir(folder) and session.shared_folder(Local()) == folder
+    assert session.fresh_path(Local(), "x").startswith(folder)

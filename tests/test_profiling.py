@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from armspan.operators import cost, runstats
 from armspan.operators import transactions as tx
 from armspan.plans import bindings, profiling
+from armspan.session import kept
 from armspan.sinks.tables import write_new_document
 
 
@@ -48,6 +49,32 @@ def test_the_table_is_released(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
+def test_operations_read_the_kept_table(spark, small_dir):
+    """Whatever else the session keeps: the suite's table is kept while its operations run, and not after."""
+    seen = []
+
+    def watched(df):
+        seen.append((df, df._jdf.queryExecution().executedPlan().toString()))
+        return df.groupBy("EXP_TYPE").count()
+
+    facts = lambda: bindings.facts(spark, small_dir)
+    profiling.profile_suite(facts, [profiling.Operation("a", "", watched), profiling.Operation("b", "", watched)])
+    assert len(seen) == 2 and all("InMemoryTableScan" in plan for _, plan in seen)
+    assert not seen[0][0].storageLevel.useMemory and not seen[0][0].storageLevel.useDisk
+    profiling.profile_suite(facts, [profiling.Operation("c", "", watched)], cache=False)
+    assert "InMemoryTableScan" not in seen[2][1]
+
+
+def test_training_reads_kept_columns(spark):
+    rows = spark.range(5).withColumn("x", F.rand(1))
+    with kept(rows) as same:
+        assert "InMemoryTableScan" in same._jdf.queryExecution().executedPlan().toString()
+        with kept(same) as again:
+            assert again.storageLevel.useMemory
+        assert same.storageLevel.useMemory
+    assert not rows.storageLevel.useMemory
+
+
 def test_failed_attempts_are_kept(spark):
     def run(number):
         if number == 2:

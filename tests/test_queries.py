@@ -1,5 +1,9 @@
 """Registered queries against their SQL on the same tables."""
 
+import os
+import subprocess
+import sys
+
 import oracle
 import pytest
 
@@ -20,6 +24,12 @@ def test_contract_has_every_query():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
+def test_the_workloads_do_not_need_the_other_libraries():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=os.path.dirname(contract.__file__))
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], done.stderr
+
+
 def test_every_query_has_a_check():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
