@@ -17,8 +17,7 @@ ROW_BITS = 33
 # ASCII white space, as in the class [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-# Paths of the tables stored so far, and of those stored for whoever owns them just now.
-_made: list[str] = []
+# Paths of the tables stored for whoever owns them just now.
 _owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 _ARROW = {
     "bigint": pa.int64(),
@@ -69,7 +68,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     with _tidy(df.sparkSession):
         df.write.parquet(path)
-    _made.append(path)
     if (mine := _owned.get()) is not None:
         mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -104,21 +102,6 @@ def discard(spark: SparkSession, tables: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(docs: DataFrame) -> None:
-    """Deletes the stored tables of this session, but for those that ``docs`` is read from.
-
-    For callers that have written the results of all operators before, such as the stages of a
-    pipeline: a table that an unwritten result still needs would be missing.
-    """
-    spark = docs.sparkSession
-    needed = docs.inputFiles()
-    for path in list(_made):
-        if not any(path.rsplit("/", 1)[1] in file for file in needed):
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-            _made.remove(path)
-
-
 def numbered(df: DataFrame, order: list[Column], group: str | None, label: str, name: str) -> DataFrame:
     """Adds ``name``: the gapless position from 0 in ``order``, per ``group`` if given.
 
