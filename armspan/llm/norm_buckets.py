@@ -71,11 +71,10 @@ def top_products(
     buckets, edges = _bucketed(rows, total, bucket_rows)
     placed = stored(buckets, "placed")
     queries = rows.where(is_query & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    queries = stored(queries.select("vec_id", "v", "len"), "queries")
-
-    # The longest vectors give every query its first threshold.
-    unarmed = _in_blocks(queries.withColumn("far", F.lit(0)), query_rows).withColumn("least", F.lit(None).cast("bigint"))
-    longest = unarmed.withColumn("bucket", F.lit(0)).withColumn("part", F.lit(0))
+    # The longest vectors give every query its first threshold. Stored as columns, as a join on constants is a nested loop.
+    zeros = [F.lit(0).alias(name) for name in ("far", "bucket", "part")]
+    queries = stored(queries.select("vec_id", "v", "len", *zeros), "queries")
+    longest = _in_blocks(queries, query_rows).withColumn("least", F.lit(None).cast("bigint"))
     first = _matched(placed.where("bucket = 0 and part = 0"), longest, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
@@ -85,7 +84,8 @@ def top_products(
     reach = lambda edge: F.col("len") * edge * (1.0 + _ROOM) >= F.col("least")
     far = F.aggregate(edges, F.lit(0), lambda n, edge: n + reach(edge).cast("int"))
     far = F.when(F.col("least").isNull(), F.size(edges)).otherwise(far)
-    armed = stored(queries.join(kth, "vec_id", "left").withColumn("far", far), "armed")
+    armed = queries.select("vec_id", "v", "len").join(kth, "vec_id", "left")
+    armed = stored(armed.withColumn("far", far), "armed")
     met = _in_blocks(armed, query_rows).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("far"))))
     # One row a bucket.
     parts = placed.groupBy("bucket").agg(F.max("part").alias("last"))

@@ -60,6 +60,20 @@ def test_candidates_go_to_the_blocks_that_reach_them(spark, monkeypatch):
     assert blocks > 10 and repeated < 0.5 * blocks * len(base)
 
 
+def test_no_join_is_a_nested_loop(spark, monkeypatch):
+    plans = []
+
+    def planned(placed, met, dealt=norm_buckets._dealt):
+        out = dealt(placed, met)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(norm_buckets, "_dealt", planned)
+    rows = [(i, [float(i % 7), float(i % 5)], None, None, None) for i in range(60)]
+    top_products(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, k=3, bucket_rows=10, query_rows=3).count()
+    assert len(plans) == 2 and not any("NestedLoop" in plan or "Cartesian" in plan for plan in plans)
+
+
 def test_more_buckets_than_cuts(spark, monkeypatch):
     monkeypatch.setattr(norm_buckets, "_CUTS", 2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).normal(size=(120, 4)))]
