@@ -44,8 +44,24 @@ def fingerprint(text: str | None, words: int = 3, seed: int = _SEED) -> int:
             [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + _COUNTED], stops[at : at + _COUNTED])],
             "<u8",
         )
-        bits = np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype="int64")
+        counts += _bit_counts(hashes)
+    return _majority(counts, n)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of 64-bit hashes; 0 if there are none."""
+    counts = np.zeros(_BITS, "int64")
+    for at in range(0, len(hashes), _COUNTED):
+        counts += _bit_counts(hashes[at : at + _COUNTED])
+    return _majority(counts, len(hashes))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype="int64")
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return sum(1 << bit for bit in np.flatnonzero(counts * 2 > n).tolist())
 
 
