@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armspan.llm.common import arrow_map, pick, stored
-from armspan.llm.words import parts, token_bytes
+from armspan.llm.words import WordEncoder, parts, token_bytes
 from armspan.session import fresh_path
 
 _BATCH_SEQUENCES = 256
@@ -58,8 +58,8 @@ def write_sequences(
     Columns: part and number (the order of the files), path, n_docs, n_tokens (end ids
     included), n_sequences and start (the tokens in all files before). ``path`` is a folder
     that executors share, by default a new one in the scratch folder. Rows are range-partitioned
-    by doc_id once and encoded as they are written; a text goes in part by part, so only one
-    batch of sequences is held. A file is closed at the first end of a document after
+    by doc_id once and encoded as they are written, short texts in batches of about a megabyte, a
+    long one part by part, so only one batch of texts and of sequences is held. A file is closed at the first end of a document after
     ``file_tokens``. Files have unique names and count once the row that names them is stored,
     so what a lost or repeated task leaves behind is never read.
 
@@ -77,12 +77,12 @@ def write_sequences(
     def each(given: Iterator[dict]) -> Iterator[tuple]:
         encoder = token_bytes(tokenizer)
         part, number, out = TaskContext.get().partitionId(), 0, None
-        for row in given:
+        for doc_id, portions in _encoded(given, encoder):
             if out is None:
                 out = _Writer(f"{root}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrows", length, encoder.id_type)
-            for piece in parts(row["text"] or "", 262_144):
-                out.add(b"".join(encoder.values([piece])[0]))
-            out.end(row["doc_id"], end_id)
+            for ids in portions:
+                out.add(ids)
+            out.end(doc_id, end_id)
             if out.n_tokens >= file_tokens:
                 yield part, number, *out.close()
                 out, number = None, number + 1
@@ -95,6 +95,32 @@ def write_sequences(
     return stored(files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "sequence-index")
 
 
+def _encoded(
+    rows: Iterator[dict], encoder: WordEncoder, part_chars: int = 262_144, batch_chars: int = 1_048_576
+) -> Iterator[tuple[int | None, Iterable[bytes]]]:
+    """doc_id and portions of the ids of each row, in order; words new to a batch are encoded together."""
+    held: list[tuple[int | None, str]] = []
+    weight = 0
+
+    def batch() -> Iterator[tuple[int | None, Iterable[bytes]]]:
+        for (doc_id, _), found in zip(held, encoder.values([text for _, text in held]), strict=True):
+            yield doc_id, [b"".join(found)]
+
+    for row in rows:
+        text = row["text"] or ""
+        if len(text) > part_chars:
+            yield from batch()
+            held, weight = [], 0
+            yield row["doc_id"], (b"".join(encoder.values([piece])[0]) for piece in parts(text, part_chars))
+            continue
+        held.append((row["doc_id"], text))
+        weight += len(text)
+        if weight >= batch_chars:
+            yield from batch()
+            held, weight = [], 0
+    yield from batch()
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """Documents read back from the files: doc_id, start, n_tokens and ids_crc32.
 

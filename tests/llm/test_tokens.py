@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from armspan.llm import queries
-from armspan.llm.sequence_files import open_sequences, read_documents, sequence, write_sequences
+from armspan.llm.sequence_files import _encoded, open_sequences, read_documents, sequence, write_sequences
 from armspan.llm.token_counts import count_tokens
 from armspan.llm.words import parts, token_bytes, token_lengths
 
@@ -93,6 +93,25 @@ def test_files_round_trip(odd_docs, no_docs):
     assert read_documents(write_sequences(no_docs, WORDS)).count() == 0
 
 
+def test_short_texts_are_encoded_together():
+    """Few calls of the tokenizer for many short texts; order, long texts and ids stay."""
+    encoder, whole = token_bytes(WORDS), Tokenizer.from_file(WORDS)
+    calls = []
+
+    class Counted:
+        def values(self, texts):
+            calls.append(len(texts))
+            return encoder.values(texts)
+
+    rows = [{"doc_id": i, "text": text} for i, text in enumerate([*ODD, None, "a long text. " * 90, *ODD * 4])]
+    found = [(i, b"".join(ids)) for i, ids in _encoded(iter(rows), Counted(), part_chars=1100, batch_chars=600)]
+    assert [i for i, _ in found] == list(range(len(rows)))
+    for (_, ids), row in zip(found, rows, strict=True):
+        wanted = whole.encode(row["text"] or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, encoder.id_type).tolist() == wanted
+    assert sum(calls) >= len(rows) > 3 * len(calls)
+
+
 def test_lost_attempts_are_not_read(spark, odd_docs):
     files = write_sequences(odd_docs.where("doc_id = 8"), WORDS)
     row = files.first()
